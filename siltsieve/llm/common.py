@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Itera
     if not n:
         return
     at = batch.column(batch.schema.get_field_index(text))
-    size = pa.compute.binary_length(at).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+    size = pc.binary_length(at).fill_null(0).to_numpy(zero_copy_only=False).cumsum()
     start = 0
     while start < n:
         before = int(size[start - 1]) if start else 0
