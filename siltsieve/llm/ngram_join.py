@@ -7,8 +7,8 @@ meeting place the ordered sets are stored in a trie; each set walks it, sharing
 behind a node, and leaves a subtree when what remains on either side can no longer reach the needed overlap. The pairs that
 come through are checked on whole sets.
 
-Groups of near copies would meet at every one of their common n-grams. Minimum hashes first link each class with the first
-class of its bucket, checked on whole sets, and what that connects is one component; afterwards only n-grams at which two
+Groups of near copies would meet at every one of their common n-grams. Minimum hashes first link each class with a few
+classes of its bucket, checked on whole sets, and what that connects is one component; afterwards only n-grams at which two
 components meet are walked, and no pair within one. No link between different texts is lost: whatever is left out is
 connected already. Meeting places with many sets are dealt to tasks as pairs of fixed-size blocks.
 
@@ -21,6 +21,7 @@ N-grams are compared by 64-bit hash, classes by a 128-bit digest of their sets.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,13 @@ from .common import blocks, cut, table
 from .components import components
 
 BITS, CHUNK_BITS = 21, 14
-MINHASHES = 4
+LOWEST = -(2**63)
+MINHASHES, LEADERS = 4, 3
 _SALT = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, MINHASHES, dtype=np.uint64) | np.uint64(1)
 #: Sets in a block of a large meeting place.
 BLOCK = 500
+#: Meeting places with more sets are checked on whole sets at once.
+LARGE = 64
 #: Up to so many identifiers or n-grams are sent to all tasks; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
 
@@ -105,6 +109,11 @@ def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     return out
 
 
+def _order(u: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Places of n-gram hashes in the global order."""
+    return (level[(u >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -126,7 +135,7 @@ def set_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                         minimum.append([0] * MINHASHES)
                         continue
                     p = prefix_length(len(u), percent)
-                    key = (level[(u >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8))
+                    key = _order(u, level)
                     first = np.argpartition(key, p - 1)[:p] if p < len(u) else np.arange(len(u))
                     prefix.append(_signed(u[first[np.argsort(key[first], kind="stable")]]))
                     minimum.append([int(_signed(K.fmix(u * s).min(keepdims=True))[0]) for s in _SALT])
@@ -139,12 +148,12 @@ def set_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
 
 def _only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows of df whose `on` is among the keys (distinct, cut): by broadcast up to MOST_BROADCAST keys, else by a shuffle."""
-    return df.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, on, "left_semi")
+    return df.join(_small(keys), on, "left_semi")
 
 
-def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b of digests; cut) whose whole sets reach the similarity."""
-    wanted = cut(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
+def whole_sets(digests: DataFrame, classes: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """digest, grams: the whole set of each of these classes, from the text of one of its rows."""
+    wanted = cut(digests.distinct())
     ids = cut(classes.join(wanted, "digest").select(F.col("rep").alias("id")).distinct())
 
     def sets(batches):
@@ -155,122 +164,305 @@ def linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, perce
                 offs = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offs, _signed(np.concatenate(found)))], names=["digest", "grams"])
 
-    whole = _only(texts.withColumn("id", F.coalesce("id", F.lit(-(2**63)))), ids, "id").select("text").mapInArrow(sets, "digest binary, grams array<long>")
+    whole = _only(texts.withColumn("id", F.coalesce("id", F.lit(LOWEST))), ids, "id").select("text").mapInArrow(sets, "digest binary, grams array<long>")
     # one set a class: an identifier or text that repeats gives its set again
-    whole = cut(whole.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
+    return cut(whole.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
+
+
+def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b of digests) whose whole sets reach the similarity."""
     left, right = whole.select(F.col("digest").alias("a"), F.col("grams").alias("ga")), whole.select(F.col("digest").alias("b"), F.col("grams").alias("gb"))
     shared = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("ga").alias("na"), F.size("gb").alias("nb"), F.size(F.array_intersect("ga", "gb")).alias("both"))
     return shared.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest")))
+
+
 class Trie:
-    """Ordered sets by their first n-grams; every node knows the sizes and the depths of the sets behind it."""
+    """Ordered sets by those of their first n-grams that other components hold, with compressed paths.
+
+    A set comes as a Record; sets go in by rising size. A node knows the sizes of the sets behind it and how much any of them
+    has left after it.
+    """
+
+    __slots__ = ("keys", "mask", "kids", "ends", "least", "most", "left")
+
+    def __init__(self, keys: list[int], bit: dict[int, int]):
+        self.keys, self.mask, self.kids, self.ends, self.least, self.most, self.left = keys, _mask(keys, bit), {}, [], 2**62, 0, 0
+
+    def insert(self, r: Record, bit: dict[int, int]) -> None:
+        node, at, keys = self, 0, r.keys
+        node._widen(r, 0)
+        while at < len(keys):
+            kid = node.kids.get(keys[at])
+            if kid is None:
+                kid = node.kids[keys[at]] = Trie(keys[at:], bit)
+                kid._widen(r, len(keys))
+                kid.ends.append(r)
+                return
+            same = 0
+            for x, y in zip(kid.keys, keys[at:], strict=False):
+                if x != y:
+                    break
+                same += 1
+            if same < len(kid.keys):
+                upper = Trie(kid.keys[:same], bit)
+                # places before the split are not known any more for the sets behind it: their sizes bound what is left
+                upper.least, upper.most, upper.left = kid.least, kid.most, kid.most
+                kid.keys = kid.keys[same:]
+                kid.mask = _mask(kid.keys, bit)
+                upper.kids[kid.keys[0]] = kid
+                node.kids[keys[at]] = kid = upper
+            at += same
+            kid._widen(r, at)
+            node = kid
+        node.ends.append(r)
+
+    def _widen(self, r: Record, at: int) -> None:
+        self.least, self.most = min(self.least, r.size), max(self.most, r.size)
+        self.left = max(self.left, r.size - (r.places[at - 1] + 1 if at else 0))
+
+    def meet(self, x: Record, before: int, percent: int) -> Iterator[Record]:
+        """Sets here, of another root than x's, that may reach the needed overlap with x, no n-gram of `before` being common.
+
+        The overlap so far is counted once for all sets behind a node. Behind it, no more can come than what either side has
+        left: the sets their n-grams after the node, x those not before the node in the global order.
+        """
+        size, keys, mask, root, last = x.size, x.keys, x.mask, x.root, x.last
+        least_need = needed(size, self.least, percent)
+        todo = [(self, 0)]
+        while todo:
+            node, both = todo.pop()
+            for r in node.ends:
+                if r.root == root or percent * size > 100 * r.size:
+                    continue
+                common = mask & r.mask
+                if common & before:
+                    continue
+                left = size - x.first if last <= r.last else r.size - r.first
+                if common.bit_count() + left >= needed(size, r.size, percent):
+                    yield r
+            for kid in node.kids.values():
+                if percent * size > 100 * kid.most:
+                    continue
+                shared = both + (kid.mask & mask).bit_count()
+                if kid.kids and kid.keys[-1] <= last:
+                    passed = bisect_right(keys, kid.keys[-1])
+                    if shared + min(size - (x.places[passed - 1] + 1 if passed else 0), kid.left) < least_need:
+                        continue
+                todo.append((kid, shared))
 
-    __slots__ = ("kids", "ends", "least", "most", "deep")
 
-    def __init__(self):
-        self.kids, self.ends, self.least, self.most, self.deep = {}, [], 2**62, 0, 0
+class Record:
+    """A set on its walk: size, number of its first n-grams and the last of them, keys (its meeting n-grams in the global order) with their places."""
 
-    def insert(self, grams: list[int], size: int, record) -> None:
-        node = self
-        node._widen(size)
-        for g in grams:
-            node = node.kids.setdefault(g, Trie())
-            node._widen(size)
-        node.ends.append((size, record))
+    __slots__ = ("digest", "size", "first", "last", "root", "keys", "places", "own", "whole", "mask")
 
-    def _widen(self, size: int) -> None:
-        self.least, self.most = min(self.least, size), max(self.most, size)
+    def __init__(self, digest, size, first, last, root, keys, places, own, whole):
+        self.digest, self.size, self.first, self.last, self.root, self.keys, self.places, self.own, self.whole, self.mask = digest, size, first, last, root, keys, places, own, whole, 0
 
-    def meet(self, grams: list[int], size: int, order, percent: int) -> Iterator[tuple]:
-        """(record, first common n-gram) of the sets here that may reach the needed overlap with the given one.
 
-        Overlap so far is shared by all sets behind a node. What may still come: n-grams behind the node on the one side, and
-        on the other those of the given set that are not before the node in the global order.
-        """
-        place = {g: i for i, g in enumerate(grams)}
-        n_first, last = len(grams), order(grams[-1])
-        todo = [(self, 0, 0, 0, None)]  # node, depth, place in grams that comes next, overlap, first common n-gram
-        while todo:
-            node, depth, at, both, first = todo.pop()
-            if percent * node.least > 100 * size or percent * size > 100 * node.most:
-                continue
-            if both + min(size - at, node.most - depth) < needed(size, node.least, percent):
-                continue
-            if first is not None:
-                for other, record in node.ends:
-                    if both + min(size - at, other - depth) >= needed(size, other, percent) and percent * other <= 100 * size and percent * size <= 100 * other:
-                        yield record, first
-            for g, kid in node.kids.items():
-                i = place.get(g)
-                if i is not None:
-                    todo.append((kid, depth + 1, i + 1, both + 1, g if first is None else first))
-                else:
-                    key, next_at = order(g), at
-                    while next_at < n_first and order(grams[next_at]) < key:
-                        next_at += 1
-                    # beyond the given set's first n-grams a match can't be seen; it may be one
-                    todo.append((kid, depth + (0 if key > last else 1), next_at, both, first))
-
-
-def candidates(classes: DataFrame, levels, percent: int) -> DataFrame:
-    """Pairs a, b of digests in different components that may reach the similarity. classes: digest, n, prefix, root."""
-    grams = classes.select(F.explode("prefix").alias("gram"), F.xxhash64("root").alias("c"))
-    mixed = cut(grams.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("rows")).where("c0 <> c1").select("gram", "rows"))
-    met = classes.select("digest", "n", "prefix", "root", F.explode("prefix").alias("gram"))
-    met = met.join(F.broadcast(mixed) if mixed.count() <= MOST_BROADCAST else mixed, "gram")
+def _mask(keys: list[int], bit: dict[int, int]) -> int:
+    out = 0
+    for k in keys:
+        if k in bit:
+            out |= 1 << bit[k]
+    return out
+
+
+def _find(parent: dict, x):
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = up
+    return x
+
+
+def walk_group(rows: list[Record], place: int, percent: int, blocks_differ: bool, checked: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of digests of one meeting place (or pair of its blocks)."""
+    seen: set[int] = set()
+    shared: set[int] = set()
+    for r in rows:
+        own = set(r.keys)
+        shared |= seen & own
+        seen |= own
+    if place not in shared or len({r.root for r in rows}) < 2:
+        return
+    bit = {k: x for x, k in enumerate(sorted(shared))}
+    before = (1 << bit[place]) - 1
+    parent: dict = {}
+    trie = Trie([], bit)
+    for x in sorted(rows, key=lambda r: (r.size, r.digest)):
+        x.mask = _mask(x.keys, bit)
+        if trie.kids:
+            for r in trie.meet(x, before, percent):
+                if blocks_differ and r.own == x.own:
+                    continue
+                if checked:
+                    u, v = _find(parent, r.root), _find(parent, x.root)
+                    if u == v or len(r.whole & x.whole) < needed(x.size, r.size, percent):
+                        continue
+                    parent[u] = v
+                yield min(x.digest, r.digest), max(x.digest, r.digest)
+        trie.insert(x, bit)
+
+
+_ONE, _MANY = np.dtype([("gram", "<i8"), ("c", "<i8")]), np.dtype([("gram", "<i8"), ("c0", "<i8"), ("c1", "<i8"), ("rows", "<i8")])
+
+
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Entries of one n-gram made one."""
+    x = x[np.argsort(x["gram"], kind="stable")]
+    at = np.flatnonzero(np.concatenate(([True], x["gram"][1:] != x["gram"][:-1]))) if len(x) else np.empty(0, np.int64)
+    out = np.empty(len(at), _MANY)
+    if len(x):
+        out["gram"], out["c0"], out["c1"], out["rows"] = x["gram"][at], np.minimum.reduceat(x["c0"], at), np.maximum.reduceat(x["c1"], at), np.add.reduceat(x["rows"], at)
+    return out
+
+
+def meetings(classes: DataFrame, parts: int) -> DataFrame:
+    """gram, rows: the n-grams at which two components meet, with their numbers of classes. classes: prefix, root.
+
+    Entries travel as packed bytes, for each task and part once: 16 bytes for an n-gram that the task holds once, 32 bytes for
+    others however often it holds them.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            x = np.empty(len(lists.flatten()), _MANY)
+            x["gram"] = lists.flatten().to_numpy()
+            x["c0"] = x["c1"] = np.repeat(batch.column(1).to_numpy(), lists.value_lengths().to_numpy())
+            x["rows"] = 1
+            x = _summed(x)
+            part = (x["gram"].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            x, part = x[np.argsort(part, kind="stable")], np.sort(part)
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(x) else np.empty(0, np.int64)
+            ones, many = [], []
+            for i, j in zip(at, [*at[1:], len(x)], strict=True):
+                own = x[i:j]
+                single = own["rows"] == 1
+                one = np.empty(int(single.sum()), _ONE)
+                one["gram"], one["c"] = own["gram"][single], own["c0"][single]
+                ones.append(one.tobytes())
+                many.append(own[~single].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array(ones, pa.binary()), pa.array(many, pa.binary())], names=["part", "one", "many"])
+
+    def meet(batches):
+        def finish(held):
+            total = _summed(np.concatenate(held))
+            total = total[total["c0"] != total["c1"]]
+            return pa.RecordBatch.from_arrays([pa.array(total["gram"]), pa.array(total["rows"])], names=["gram", "rows"])
+
+        now, held, size = None, [], 0
+        for batch in batches:
+            for part, one, many in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != now and held:
+                    yield finish(held)
+                    held, size = [], 0
+                now = part
+                single = np.frombuffer(one, _ONE)
+                x = np.empty(len(single), _MANY)
+                x["gram"], x["c0"], x["c1"], x["rows"] = single["gram"], single["c"], single["c"], 1
+                held += [x, np.frombuffer(many, _MANY)]
+                size += len(x) + len(many) // 32
+                if size > 1 << 21:  # sums so far take the place of their entries
+                    held = [_summed(np.concatenate(held))]
+                    size = 0
+        if held:
+            yield finish(held)
+
+    packed = classes.select("prefix", F.xxhash64("root").alias("c")).mapInArrow(pack, "part int, one binary, many binary")
+    return cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "gram long, rows long"))
+
+
+def walked(met: DataFrame, levels, percent: int, checked: bool) -> DataFrame:
+    """Pairs a, b of digests in different components that tries let through. met: gram, rows, digest, n, last, root, firsts[, grams].
+
+    With `checked`, whole sets (grams) come along: pairs are verified here, and none is looked at whose two sides have been
+    connected here already, so a large meeting place gives at most as many pairs as it has sets in a block.
+    """
     n_blocks = F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}")
     met = met.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("digest", "gram"), F.col("blocks")))
     # block i meets block j for i <= j: a set goes where its own block is one of the two
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "prefix", "root")
+    met = met.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "last", "root", F.col("firsts.gram").alias("keys"), F.col("firsts.pos").alias("places"), *["grams"] * checked)
+    met = met.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
-    def walk(key, group):
-        gram, i, j = (x.as_py() for x in key)
-        level = levels.value
-        wanted = gram
+    def order(x) -> list[int]:
+        return _order(x.to_numpy(zero_copy_only=False).view(np.uint64), levels.value).tolist()
 
-        def order(g: int):
-            u = g & 0xFFFFFFFFFFFFFFFF
-            return int(level[u >> (64 - BITS)]), u >> 8
+    def walk(batches):
+        now, rows, out = None, [], []
 
-        rows = sorted(zip(group["n"].to_pylist(), group["digest"].to_pylist(), group["prefix"].to_pylist(), group["root"].to_pylist(), group["own"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
-        trie, a, b = Trie(), [], []
-        for size, digest, prefix, root, own in rows:
-            if len({r[3] for r in rows}) > 1:
-                for (other, other_root, other_own), first in trie.meet(prefix, size, order, percent):
-                    if first == wanted and other_root != root and (i == j or other_own != own):
-                        a.append(min(digest, other))
-                        b.append(max(digest, other))
-            trie.insert(prefix, size, (digest, root, own))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        def flush(k=None):
+            out.extend(walk_group(rows, k[3], percent, k[1] != k[2], checked))
 
-    return met.groupBy("gram", "i", "j").applyInArrow(walk, "a binary, b binary").distinct()
+        for batch in batches:
+            for part in (batch.slice(x, 2000) for x in range(0, batch.num_rows, 2000)):
+                c = {name: part.column(k) for k, name in enumerate(part.schema.names)}
+                grams, places, lasts, flat = c["gram"].to_pylist(), order(c["gram"]), order(c["last"]), order(c["keys"].flatten())
+                pos, at, m = c["places"].flatten().to_pylist(), 0, c["keys"].value_lengths().to_pylist()
+                plain = zip(grams, places, *(c[k].to_pylist() for k in ("i", "j", "own", "digest", "n", "root")), lasts, m, strict=True)
+                whole = c["grams"] if checked else None
+                for k, (gram, place, i, j, own, digest, n, root, last, size) in enumerate(plain):
+                    key = (gram, i, j, place)
+                    if key != now:
+                        if now is not None and len(rows) > 1:
+                            flush(now)
+                        now, rows = key, []
+                    rows.append(Record(digest, n, prefix_length(n, percent), last, root, flat[at : at + size], pos[at : at + size], own, frozenset(whole[k].as_py()) if checked else None))
+                    at += size
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                    out.clear()
+        if now is not None and len(rows) > 1:
+            flush(now)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(walk, "a binary, b binary").distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df (cut), marked for broadcast if it has at most MOST_BROADCAST rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest identifier that links reach)."""
     texts = _texts(docs, id_col, text_col)
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts, "text", n))
-    rows = cut(set_rows(texts, levels, n, percent))
-    low = F.coalesce("id", F.lit(-(2**63)))
-    full = rows.where("n > 0").withColumn("id", low)
-    firsts = [F.first(c).alias(c) for c in ("n", "prefix", *(f"m{k}" for k in range(MINHASHES)))]
-    # rep names a row to read the text of; the name of a group leaves null identifiers out
-    known = F.min(F.nullif("id", F.lit(-(2**63)))).alias("known")
-    classes = cut(full.groupBy("digest").agg(F.min("id").alias("rep"), known, *firsts))
+    rows = cut(set_rows(texts, levels, n, percent).withColumn("row", F.monotonically_increasing_id()))
+    # one row of each set goes on; the others are named by their row numbers
+    full = rows.where("n > 0")
+    first = full.groupBy("digest").agg(F.min(F.struct(F.coalesce("id", F.lit(LOWEST)).alias("id"), "row")).alias("rep"), F.min("id").alias("known"))
+    first = cut(first.select("digest", "known", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row")))
+    others = cut(full.select("digest", "row").join(first.select("digest", F.col("row").alias("first")), "digest").where("row <> first").select("row"))
+    classes = full.join(_small(others), "row", "left_anti")
 
     keys = classes.select("digest", F.posexplode(F.array(*(f"m{k}" for k in range(MINHASHES)))).alias("k", "m"))
-    leaders = keys.groupBy("k", "m").agg(F.min("digest").alias("a"), F.count("*").alias("rows")).where("rows > 1")
-    stars = cut(keys.join(leaders, ["k", "m"]).where("digest <> a").select("a", F.col("digest").alias("b")).distinct())
-    sure = cut(linked(stars, classes, texts, n, percent))
-    roots = cut(components(sure))
-    rooted = cut(classes.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "n", "prefix", F.coalesce("root", "digest").alias("root")))
-    pairs = cut(candidates(rooted, levels, percent))
-    more = linked(pairs, classes, texts, n, percent)
-    found = components(sure.unionByName(more))
-
-    named = classes.select("digest", "known").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "known", F.coalesce("root", "digest").alias("root"))
+    picks = [F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest")).alias(f"p{k}") for k in range(LEADERS)]
+    leaders = keys.groupBy("k", "m").agg(F.count("*").alias("rows"), *picks).where("rows > 1")
+    leaders = leaders.select("k", "m", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.digest") for k in range(LEADERS))))).alias("a"))
+    stars = cut(keys.join(leaders, ["k", "m"]).where("digest <> a").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct())
+    sure = cut(linked(stars, whole_sets(_ends(stars), first, texts, n), percent))
+    roots = cut(components(sure).withColumnRenamed("node", "digest"))
+    rooted = classes.join(_small(roots), "digest", "left").select("digest", "n", "prefix", F.coalesce("root", "digest").alias("root"))
+
+    total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    mixed = meetings(rooted, max(16, total >> 20))
+    met = rooted.select("digest", "n", "root", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "gram")).join(_small(mixed), "gram")
+    met = met.groupBy("digest", "n", "root", "last").agg(F.array_sort(F.collect_list(F.struct("pos", "gram", "rows"))).alias("firsts"))
+    met = cut(met).select("*", F.explode("firsts").alias("at")).select("*", "at.gram", "at.rows").drop("at")
+    large = met.where(f"rows > {LARGE}")
+    found = cut(walked(large.join(whole_sets(large.select("digest"), first, texts, n), "digest"), levels, percent, checked=True))
+    pairs = cut(walked(met.where(f"rows <= {LARGE}"), levels, percent, checked=False))
+    more = linked(pairs, whole_sets(_ends(pairs), first, texts, n), percent)
+    found = components(sure.unionByName(found).unionByName(more))
+
+    named = first.select("digest", "known").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "known", F.coalesce("root", "digest").alias("root"))
     best = named.groupBy("root").agg(F.min("known").alias("component_id"))
     by_digest = named.join(best, "root").select("digest", "component_id")
     joined = rows.select("id", "n", "digest").join(by_digest, "digest", "left")

@@ -118,30 +118,54 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in SCHEMA.split(", ")])
 
 
+def _scored(part: pa.RecordBatch, text: int, model, threshold: float) -> tuple:
+    """The columns of SCHEMA after doc_id, for one block."""
+    w, b, a, c = model
+    buf, offs = K.texts(part.column(text))
+    starts, ends, at = K.word_bounds(buf, offs)
+    words = K.word_hashes(buf, starts, ends)
+    n = np.diff(at)
+    inside = K.row_sums(np.where(K.IS_SPACE[buf], 0, _IS_START[buf]), offs)
+    repeats = repeat_words(buf, starts, ends, words, at)
+    raw = buf.tobytes()
+    lines = [dup_lines(raw[i:j]) for i, j in zip(offs[:-1], offs[1:], strict=True)]
+    failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
+    p = sigmoid(a * margins(buf, offs, words, at, w, b) + c)
+    return n, inside, K.row_sums(_IS_SYMBOL[buf], offs), lines, repeats, failed, ~failed & (p >= threshold), p
+
+
+def _model(docs: DataFrame, labels: DataFrame, sample: int, l2: float):
+    return docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", sample), l2))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, l2: float = L2, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, the counts, base_failed, kept, p_good. One pass over the texts besides the sample's."""
-    model = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, "quality", sample), l2))
+    model = _model(docs, labels, sample, l2)
 
     def score(batches):
-        w, b, a, c = model.value
         for batch in batches:
             for part in blocks(batch, "text"):
-                buf, offs = K.texts(part.column(1))
-                starts, ends, at = K.word_bounds(buf, offs)
-                words = K.word_hashes(buf, starts, ends)
-                n = np.diff(at)
-                inside = K.row_sums(np.where(K.IS_SPACE[buf], 0, _IS_START[buf]), offs)
-                repeats = repeat_words(buf, starts, ends, words, at)
-                raw = buf.tobytes()
-                lines = [dup_lines(raw[i:j]) for i, j in zip(offs[:-1], offs[1:], strict=True)]
-                failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-                p = sigmoid(a * margins(buf, offs, words, at, w, b) + c)
-                columns = [part.column(0), n, inside, K.row_sums(_IS_SYMBOL[buf], offs), lines, repeats, failed, ~failed & (p >= threshold), p]
+                columns = [part.column(0), *_scored(part, 1, model.value, threshold)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t.type) for x, t in zip(columns, ARROW, strict=True)], schema=ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, SCHEMA)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, l2: float = L2, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are kept, with all their columns; no shuffle of texts."""
+    model = _model(docs, labels, sample, l2)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            names = [f"c{k}" for k in range(batch.num_columns)]
+            for part in blocks(pa.RecordBatch.from_arrays(batch.columns, names=names), names[at]):
+                yield part.filter(pa.array(_scored(part, at, model.value, threshold)[6]))
+
+    inner = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return inner.mapInArrow(keep, inner.schema).toDF(*docs.columns)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
