@@ -35,7 +35,8 @@ from .components import components
 
 BITS, CHUNK_BITS = 21, 14
 LOWEST = -(2**63)
-MINHASHES, LEADERS = 4, 3
+#: Minimum hashes of a set; the first BANDS of them name its buckets, and AGREE of all must be equal for a look at whole sets.
+MINHASHES, BANDS, AGREE, LEADERS = 8, 4, 5, 3
 _SALT = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, MINHASHES, dtype=np.uint64) | np.uint64(1)
 #: Sets in a block of a large meeting place.
 BLOCK = 500
@@ -166,7 +167,7 @@ def whole_sets(digests: DataFrame, classes: DataFrame, texts: DataFrame, n: int)
 
     whole = _only(texts.withColumn("id", F.coalesce("id", F.lit(LOWEST))), ids, "id").select("text").mapInArrow(sets, "digest binary, grams array<long>")
     # one set a class: an identifier or text that repeats gives its set again
-    return cut(whole.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]))
+    return cut(whole.join(_small(wanted), "digest", "left_semi").dropDuplicates(["digest"]))
 
 
 def linked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -442,11 +443,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = cut(full.select("digest", "row").join(first.select("digest", F.col("row").alias("first")), "digest").where("row <> first").select("row"))
     classes = full.join(_small(others), "row", "left_anti")
 
-    keys = classes.select("digest", F.posexplode(F.array(*(f"m{k}" for k in range(MINHASHES)))).alias("k", "m"))
-    picks = [F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest")).alias(f"p{k}") for k in range(LEADERS)]
+    mins = F.array(*(f"m{k}" for k in range(MINHASHES))).alias("mins")
+    keys = classes.select("digest", mins, F.posexplode(F.array(*(f"m{k}" for k in range(BANDS)))).alias("k", "m"))
+    picks = [F.min(F.struct(F.xxhash64("digest", F.lit(k)), "digest", "mins")).alias(f"p{k}") for k in range(LEADERS)]
     leaders = keys.groupBy("k", "m").agg(F.count("*").alias("rows"), *picks).where("rows > 1")
-    leaders = leaders.select("k", "m", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.digest") for k in range(LEADERS))))).alias("a"))
-    stars = cut(keys.join(leaders, ["k", "m"]).where("digest <> a").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct())
+    leaders = leaders.select("k", "m", F.explode(F.array(*(F.struct(F.col(f"p{k}.digest").alias("a"), F.col(f"p{k}.mins").alias("own")) for k in range(LEADERS)))).alias("p"))
+    agree = F.size(F.filter(F.zip_with("mins", "p.own", lambda x, y: x == y), lambda x: x))
+    stars = keys.join(leaders, ["k", "m"]).where((F.col("digest") != F.col("p.a")) & (agree >= AGREE))
+    stars = cut(stars.select(F.least("p.a", "digest").alias("a"), F.greatest("p.a", "digest").alias("b")).distinct())
     sure = cut(linked(stars, whole_sets(_ends(stars), first, texts, n), percent))
     roots = cut(components(sure).withColumnRenamed("node", "digest"))
     rooted = classes.join(_small(roots), "digest", "left").select("digest", "n", "prefix", F.coalesce("root", "digest").alias("root"))
