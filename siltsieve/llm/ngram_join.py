@@ -378,14 +378,75 @@ def meetings(classes: DataFrame, parts: int) -> DataFrame:
     return cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "gram long, rows long"))
 
 
+SEGMENT = 1 << 18  # bytes of a part of the bitmap
+_PROBES = _SALT[:3]
+
+
+def _probe(grams: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(grams.view(np.uint64) * p) >> np.uint64(64 - bits) for p in _PROBES]
+
+
+def gram_filter(grams: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """A Bloom filter of a column of n-grams: log2 of its bits and its bytes; 16 bits for an n-gram, 2 to 16 MB in all.
+
+    Built in parts of SEGMENT bytes by as many tasks. More n-grams than fit only let more needless rows through.
+    """
+    bits = min(27, max(24, (16 * count).bit_length()))
+    width = SEGMENT * 8
+
+    def spread(batches):
+        for batch in batches:
+            at = np.concatenate(_probe(batch.column(0).to_numpy(), bits))
+            at = np.unique(at)
+            part = (at // np.uint64(width)).astype(np.int32)
+            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(at) else np.empty(0, np.int64)
+            ends = [*cuts[1:], len(at)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([(at[i:j] % np.uint64(width)).astype("<u4").tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary())], names=["part", "at"])
+
+    def gather(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, at in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                held.setdefault(part, np.zeros(width, bool))[np.frombuffer(at, "<u4")] = True
+        for part, on in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["part", "bytes"])
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in grams.mapInArrow(spread, "part int, at binary").repartition("part").mapInArrow(gather, "part int, bytes binary").collect():  # 2**(bits - 3) bytes in all
+        out[r.part * SEGMENT : (r.part + 1) * SEGMENT] = np.frombuffer(r.bytes, np.uint8)
+    return bits, out
+
+
+def thinned(classes: DataFrame, mixed: DataFrame) -> DataFrame:
+    """digest, n, root, last (of the first n-grams), firsts: those of a class's first n-grams, with places, that may be among the mixed."""
+    sent = classes.sparkSession.sparkContext.broadcast(gram_filter(mixed.select("gram"), mixed.count()))
+
+    def thin(batches):
+        bits, on = sent.value
+        for batch in batches:
+            lists = batch.column(3)
+            flat, m = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            hit = np.ones(len(flat), bool)
+            for at in _probe(flat, bits):
+                hit &= (on[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            ends = np.cumsum(m)
+            place = np.arange(len(flat)) - np.repeat(ends - m, m)
+            offs = np.concatenate(([0], np.cumsum(np.add.reduceat(hit, ends - m) if len(m) else m))).astype(np.int32)
+            firsts = pa.ListArray.from_arrays(offs, pa.StructArray.from_arrays([pa.array(place[hit].astype(np.int32)), pa.array(flat[hit])], names=["pos", "gram"]))
+            out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(flat[ends - 1]), firsts], names=["digest", "n", "root", "last", "firsts"])
+            yield out.filter(pa.array(np.diff(offs) > 0))
+
+    return classes.select("digest", "n", "root", "prefix").mapInArrow(thin, "digest binary, n long, root binary, last long, firsts array<struct<pos:int,gram:long>>")
+
+
 def walked(met: DataFrame, levels, percent: int, checked: bool) -> DataFrame:
-    """Pairs a, b of digests in different components that tries let through. met: gram, rows, digest, n, last, root, firsts[, grams].
+    """Pairs a, b of digests in different components that tries let through. met: gram, rows, digest, n, last, root, firsts[, grams];
+    rows is the size of a meeting place that is to be dealt in blocks, 1 keeps a place whole.
 
     With `checked`, whole sets (grams) come along: pairs are verified here, and none is looked at whose two sides have been
     connected here already, so a large meeting place gives at most as many pairs as it has sets in a block.
     """
-    n_blocks = F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}")
-    met = met.withColumn("blocks", n_blocks).withColumn("own", F.pmod(F.xxhash64("digest", "gram"), F.col("blocks")))
+    met = met.withColumn("blocks", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}")).withColumn("own", F.pmod(F.xxhash64("digest", "gram"), F.col("blocks")))
     # block i meets block j for i <= j: a set goes where its own block is one of the two
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "last", "root", F.col("firsts.gram").alias("keys"), F.col("firsts.pos").alias("places"), *["grams"] * checked)
@@ -457,12 +518,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     mixed = meetings(rooted, max(16, total >> 20))
-    met = rooted.select("digest", "n", "root", F.element_at("prefix", -1).alias("last"), F.posexplode("prefix").alias("pos", "gram")).join(_small(mixed), "gram")
-    met = met.groupBy("digest", "n", "root", "last").agg(F.array_sort(F.collect_list(F.struct("pos", "gram", "rows"))).alias("firsts"))
-    met = cut(met).select("*", F.explode("firsts").alias("at")).select("*", "at.gram", "at.rows").drop("at")
-    large = met.where(f"rows > {LARGE}")
+    thin = cut(thinned(rooted, mixed))
+    met = thin.select("*", F.explode("firsts.gram").alias("gram"))
+    crowds = _small(cut(mixed.where(f"rows > {LARGE}")))
+    large = met.join(crowds, "gram")
     found = cut(walked(large.join(whole_sets(large.select("digest"), first, texts, n), "digest"), levels, percent, checked=True))
-    pairs = cut(walked(met.where(f"rows <= {LARGE}"), levels, percent, checked=False))
+    pairs = cut(walked(met.join(crowds, "gram", "left_anti").withColumn("rows", F.lit(1).cast("long")), levels, percent, checked=False))
     more = linked(pairs, whole_sets(_ends(pairs), first, texts, n), percent)
     found = components(sure.unionByName(found).unionByName(more))
 
