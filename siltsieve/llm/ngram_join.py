@@ -257,19 +257,21 @@ class Trie:
 
 
 class Record:
-    """A set on its walk: size, number of its first n-grams and the last of them, keys (its meeting n-grams in the global order) with their places."""
+    """A set on its walk: size, number of its first n-grams and the last of them, keys (its meeting n-grams in the global order) with their places and weights."""
 
-    __slots__ = ("digest", "size", "first", "last", "root", "keys", "places", "own", "whole", "mask")
+    __slots__ = ("digest", "size", "first", "last", "root", "keys", "places", "weights", "own", "whole", "mask")
 
-    def __init__(self, digest, size, first, last, root, keys, places, own, whole):
-        self.digest, self.size, self.first, self.last, self.root, self.keys, self.places, self.own, self.whole, self.mask = digest, size, first, last, root, keys, places, own, whole, 0
+    def __init__(self, digest, size, first, last, root, keys, places, weights, own, whole):
+        self.digest, self.size, self.first, self.last, self.root, self.keys = digest, size, first, last, root, keys
+        self.places, self.weights, self.own, self.whole, self.mask = places, weights, own, whole, 0
 
 
 def _mask(keys: list[int], bit: dict[int, int]) -> int:
+    """The bits of these n-grams; one that stands for several has as many."""
     out = 0
     for k in keys:
         if k in bit:
-            out |= 1 << bit[k]
+            out |= bit[k]
     return out
 
 
@@ -283,15 +285,18 @@ def _find(parent: dict, x):
 def walk_group(rows: list[Record], place: int, percent: int, blocks_differ: bool, checked: bool) -> Iterator[tuple[bytes, bytes]]:
     """Pairs of digests of one meeting place (or pair of its blocks)."""
     seen: set[int] = set()
-    shared: set[int] = set()
+    shared: dict[int, int] = {}
     for r in rows:
-        own = set(r.keys)
-        shared |= seen & own
-        seen |= own
+        shared |= {k: w for k, w in zip(r.keys, r.weights, strict=True) if k in seen}
+        seen.update(r.keys)
     if place not in shared or len({r.root for r in rows}) < 2:
         return
-    bit = {k: x for x, k in enumerate(sorted(shared))}
-    before = (1 << bit[place]) - 1
+    bit, at, before = {}, 0, 0
+    for k in sorted(shared):
+        if k == place:
+            before = (1 << at) - 1
+        bit[k] = ((1 << shared[k]) - 1) << at
+        at += shared[k]
     parent: dict = {}
     trie = Trie([], bit)
     for x in sorted(rows, key=lambda r: (r.size, r.digest)):
@@ -309,7 +314,7 @@ def walk_group(rows: list[Record], place: int, percent: int, blocks_differ: bool
         trie.insert(x, bit)
 
 
-_ONE, _MANY = np.dtype([("gram", "<i8"), ("c", "<i8")]), np.dtype([("gram", "<i8"), ("c0", "<i8"), ("c1", "<i8"), ("rows", "<i8")])
+_ONE, _MANY = np.dtype([("gram", "<i8"), ("c", "<i8")]), np.dtype([("gram", "<i8"), ("c0", "<i8"), ("c1", "<i8"), ("rows", "<i8"), ("members", "<i8")])
 
 
 def _summed(x: np.ndarray) -> np.ndarray:
@@ -318,23 +323,27 @@ def _summed(x: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(np.concatenate(([True], x["gram"][1:] != x["gram"][:-1]))) if len(x) else np.empty(0, np.int64)
     out = np.empty(len(at), _MANY)
     if len(x):
-        out["gram"], out["c0"], out["c1"], out["rows"] = x["gram"][at], np.minimum.reduceat(x["c0"], at), np.maximum.reduceat(x["c1"], at), np.add.reduceat(x["rows"], at)
+        out["gram"], out["c0"], out["c1"] = x["gram"][at], np.minimum.reduceat(x["c0"], at), np.maximum.reduceat(x["c1"], at)
+        out["rows"], out["members"] = np.add.reduceat(x["rows"], at), np.add.reduceat(x["members"], at)
     return out
 
 
-def meetings(classes: DataFrame, parts: int) -> DataFrame:
-    """gram, rows: the n-grams at which two components meet, with their numbers of classes. classes: prefix, root.
+def meetings(classes: DataFrame, levels, parts: int) -> DataFrame:
+    """gram, rows, weight: the n-grams at which two components meet, with their numbers of classes. classes: prefix, root, digest.
 
-    Entries travel as packed bytes, for each task and part once: 16 bytes for an n-gram that the task holds once, 32 bytes for
-    others however often it holds them.
+    Of n-grams that the very same classes hold only the first in the global order is a meeting place, as no later one can be
+    the first that two of them have in common; weight is how many it stands for. The sum of the classes' hashes tells.
+    Entries travel as packed bytes, for each task and part once: 16 bytes for an n-gram that the task holds once in a class
+    that is a component alone, 40 bytes for others however often the task holds them.
     """
 
     def pack(batches):
         for batch in batches:
-            lists = batch.column(0)
-            x = np.empty(len(lists.flatten()), _MANY)
-            x["gram"] = lists.flatten().to_numpy()
-            x["c0"] = x["c1"] = np.repeat(batch.column(1).to_numpy(), lists.value_lengths().to_numpy())
+            m = batch.column(0).value_lengths().to_numpy()
+            x = np.empty(int(m.sum()), _MANY)
+            x["gram"] = batch.column(0).flatten().to_numpy()
+            x["c0"] = x["c1"] = np.repeat(batch.column(1).to_numpy(), m)
+            x["members"] = np.repeat(batch.column(2).to_numpy(), m)
             x["rows"] = 1
             x = _summed(x)
             part = (x["gram"].view(np.uint64) % np.uint64(parts)).astype(np.int32)
@@ -343,7 +352,7 @@ def meetings(classes: DataFrame, parts: int) -> DataFrame:
             ones, many = [], []
             for i, j in zip(at, [*at[1:], len(x)], strict=True):
                 own = x[i:j]
-                single = own["rows"] == 1
+                single = (own["rows"] == 1) & (own["c0"] == own["members"])
                 one = np.empty(int(single.sum()), _ONE)
                 one["gram"], one["c"] = own["gram"][single], own["c0"][single]
                 ones.append(one.tobytes())
@@ -354,7 +363,10 @@ def meetings(classes: DataFrame, parts: int) -> DataFrame:
         def finish(held):
             total = _summed(np.concatenate(held))
             total = total[total["c0"] != total["c1"]]
-            return pa.RecordBatch.from_arrays([pa.array(total["gram"]), pa.array(total["rows"])], names=["gram", "rows"])
+            place = _order(total["gram"].view(np.uint64), levels.value)
+            # signed, and still in the global order
+            place = (place ^ np.uint64(1 << 63)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(total["gram"]), pa.array(total["rows"]), pa.array(total["members"]), pa.array(place)], names=["gram", "rows", "members", "place"])
 
         now, held, size = None, [], 0
         for batch in batches:
@@ -365,17 +377,19 @@ def meetings(classes: DataFrame, parts: int) -> DataFrame:
                 now = part
                 single = np.frombuffer(one, _ONE)
                 x = np.empty(len(single), _MANY)
-                x["gram"], x["c0"], x["c1"], x["rows"] = single["gram"], single["c"], single["c"], 1
+                x["gram"], x["c0"], x["c1"], x["rows"], x["members"] = single["gram"], single["c"], single["c"], 1, single["c"]
                 held += [x, np.frombuffer(many, _MANY)]
-                size += len(x) + len(many) // 32
+                size += len(x) + len(many) // _MANY.itemsize
                 if size > 1 << 21:  # sums so far take the place of their entries
                     held = [_summed(np.concatenate(held))]
                     size = 0
         if held:
             yield finish(held)
 
-    packed = classes.select("prefix", F.xxhash64("root").alias("c")).mapInArrow(pack, "part int, one binary, many binary")
-    return cut(packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "gram long, rows long"))
+    packed = classes.select("prefix", F.xxhash64("root").alias("c"), F.xxhash64("digest").alias("h")).mapInArrow(pack, "part int, one binary, many binary")
+    met = packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "gram long, rows long, members long, place long")
+    first = met.groupBy("members", "rows").agg(F.min(F.struct("place", "gram")).alias("first"), F.count("*").cast("int").alias("weight"))
+    return cut(first.select("first.gram", "rows", "weight"))
 
 
 SEGMENT = 1 << 18  # bytes of a part of the bitmap
@@ -440,8 +454,7 @@ def thinned(classes: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def walked(met: DataFrame, levels, percent: int, checked: bool) -> DataFrame:
-    """Pairs a, b of digests in different components that tries let through. met: gram, rows, digest, n, last, root, firsts[, grams];
-    rows is the size of a meeting place that is to be dealt in blocks, 1 keeps a place whole.
+    """Pairs a, b of digests in different components that tries let through. met: gram, rows, digest, n, last, root, firsts[, grams].
 
     With `checked`, whole sets (grams) come along: pairs are verified here, and none is looked at whose two sides have been
     connected here already, so a large meeting place gives at most as many pairs as it has sets in a block.
@@ -449,7 +462,7 @@ def walked(met: DataFrame, levels, percent: int, checked: bool) -> DataFrame:
     met = met.withColumn("blocks", F.expr(f"(rows + {BLOCK - 1}) div {BLOCK}")).withColumn("own", F.pmod(F.xxhash64("digest", "gram"), F.col("blocks")))
     # block i meets block j for i <= j: a set goes where its own block is one of the two
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "last", "root", F.col("firsts.gram").alias("keys"), F.col("firsts.pos").alias("places"), *["grams"] * checked)
+    met = met.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "digest", "n", "last", "root", F.col("firsts.gram").alias("keys"), F.col("firsts.pos").alias("places"), F.col("firsts.weight").alias("weights"), *["grams"] * checked)
     met = met.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
 
     def order(x) -> list[int]:
@@ -465,7 +478,8 @@ def walked(met: DataFrame, levels, percent: int, checked: bool) -> DataFrame:
             for part in (batch.slice(x, 2000) for x in range(0, batch.num_rows, 2000)):
                 c = {name: part.column(k) for k, name in enumerate(part.schema.names)}
                 grams, places, lasts, flat = c["gram"].to_pylist(), order(c["gram"]), order(c["last"]), order(c["keys"].flatten())
-                pos, at, m = c["places"].flatten().to_pylist(), 0, c["keys"].value_lengths().to_pylist()
+                pos, weights = c["places"].flatten().to_pylist(), c["weights"].flatten().to_pylist()
+                at, m = 0, c["keys"].value_lengths().to_pylist()
                 plain = zip(grams, places, *(c[k].to_pylist() for k in ("i", "j", "own", "digest", "n", "root")), lasts, m, strict=True)
                 whole = c["grams"] if checked else None
                 for k, (gram, place, i, j, own, digest, n, root, last, size) in enumerate(plain):
@@ -474,7 +488,7 @@ def walked(met: DataFrame, levels, percent: int, checked: bool) -> DataFrame:
                         if now is not None and len(rows) > 1:
                             flush(now)
                         now, rows = key, []
-                    rows.append(Record(digest, n, prefix_length(n, percent), last, root, flat[at : at + size], pos[at : at + size], own, frozenset(whole[k].as_py()) if checked else None))
+                    rows.append(Record(digest, n, prefix_length(n, percent), last, root, flat[at : at + size], pos[at : at + size], weights[at : at + size], own, frozenset(whole[k].as_py()) if checked else None))
                     at += size
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
@@ -517,13 +531,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = classes.join(_small(roots), "digest", "left").select("digest", "n", "prefix", F.coalesce("root", "digest").alias("root"))
 
     total = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    mixed = meetings(rooted, max(16, total >> 20))
-    thin = cut(thinned(rooted, mixed))
-    met = thin.select("*", F.explode("firsts.gram").alias("gram"))
-    crowds = _small(cut(mixed.where(f"rows > {LARGE}")))
-    large = met.join(crowds, "gram")
+    mixed = meetings(rooted, levels, max(16, total >> 20))
+    thin = thinned(rooted, mixed).select("digest", "n", "root", "last", F.inline("firsts")).join(mixed, "gram")
+    firsts = F.array_sort(F.collect_list(F.struct("pos", "gram", "weight", "rows"))).alias("firsts")
+    thin = cut(thin.groupBy("digest", "n", "root", "last").agg(firsts))
+    met = thin.select("*", F.explode("firsts").alias("at")).select("*", "at.gram", "at.rows").drop("at")
+    large = met.where(f"rows > {LARGE}")
     found = cut(walked(large.join(whole_sets(large.select("digest"), first, texts, n), "digest"), levels, percent, checked=True))
-    pairs = cut(walked(met.join(crowds, "gram", "left_anti").withColumn("rows", F.lit(1).cast("long")), levels, percent, checked=False))
+    pairs = cut(walked(met.where(f"rows <= {LARGE}"), levels, percent, checked=False))
     more = linked(pairs, whole_sets(_ends(pairs), first, texts, n), percent)
     found = components(sure.unionByName(found).unionByName(more))
 
