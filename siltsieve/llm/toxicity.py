@@ -47,19 +47,34 @@ def presence(buf: np.ndarray, offs: np.ndarray, useful: np.ndarray | None = None
     return keys % N, np.searchsorted(keys, np.arange(n_rows + 1) * N)
 
 
+def _chunks(texts: list[bytes], useful: np.ndarray | None = None, most_bytes: int = 1 << 20):
+    """(row numbers, features, offsets) of so many bytes of texts at a time."""
+    start = 0
+    while start < len(texts):
+        end, size = start + 1, len(texts[start])
+        while end < len(texts) and size + len(texts[end]) <= most_bytes:
+            size += len(texts[end])
+            end += 1
+        own = texts[start:end]
+        columns, at = presence(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), useful)
+        yield np.arange(start, end), columns, at
+        start = end
+
+
 def train(texts: list[bytes], y: np.ndarray, *, l2: float = L2, features: int = FEATURES) -> tuple[np.ndarray, float, float, float]:
     """Weight of each feature, intercept, calibration a, b. Every fifth row is held back for the calibration."""
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.0) / (len(y) + 2) if not len(y) or y.max() == 0 else (y.sum() + 1) / (len(y) + 2)
         p = min(max(p, 1e-6), 1 - 1e-6)
         return np.zeros(N, np.float32), float(np.log(p / (1 - p))), 1.0, 0.0
-    offs = np.cumsum([0, *map(len, texts)])
-    columns, at = presence(np.frombuffer(b"".join(texts), np.uint8), offs)
-    row = np.repeat(np.arange(len(y)), np.diff(at))
     held = np.arange(len(y)) % 5 == 4
-    own = ~held[row]
-    toxic = np.bincount(columns[own & (y[row] == 1)], minlength=N) + SMOOTH
-    clean = np.bincount(columns[own & (y[row] == 0)], minlength=N) + SMOOTH
+    sums = np.full((2, N), SMOOTH)
+    for rows, columns, at in _chunks(texts):
+        own = np.repeat(~held[rows], np.diff(at))
+        kind = np.repeat(y[rows], np.diff(at))
+        for k in (0, 1):
+            sums[k] += np.bincount(columns[own & (kind == k)], minlength=N)
+    clean, toxic = sums
     n1, n0 = (y[~held] == 1).sum() + 2 * SMOOTH, (y[~held] == 0).sum() + 2 * SMOOTH
     ratio = np.log((toxic / n1) / (clean / n0))
     seen = toxic + clean - 2 * SMOOTH >= 3
@@ -67,11 +82,15 @@ def train(texts: list[bytes], y: np.ndarray, *, l2: float = L2, features: int =
     top = np.argsort(-strength, kind="stable")[:features]
     new = np.full(N, -1)
     new[top] = np.arange(len(top))
-    keep = new[columns] >= 0
+    # a second pass over the sample keeps the chosen features alone
+    parts = [(rows, new[columns].astype(np.int32), np.diff(at)) for rows, columns, at in _chunks(texts, new >= 0)]
+    columns, count = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    row = np.repeat(np.arange(len(y)), count)
 
     def rows(mask):
-        use = keep & mask[row]
-        return Rows(new[columns[use]], ratio[columns[use]], np.concatenate(([0], np.cumsum(np.bincount(row[use], minlength=len(y))[mask]))))
+        use = mask[row]
+        own = columns[use]
+        return Rows(own, ratio[top][own].astype(np.float32), np.concatenate(([0], np.cumsum(count[mask]))))
 
     w, b = fit_logistic(rows(~held), y[~held], len(top), l2)
     a, c = fit_platt(rows(held).dot(w) + b, y[held])
