@@ -32,11 +32,11 @@ from . import textkernel as K
 from .common import blocks, table
 
 TIERS = (2048, 1024, 512, 256)
-END_ID, POOL, STEP_TOKENS, CACHE_WORDS = 1, 4096, 32_768, 400_000
+END_ID, POOL, STEP_TOKENS, CACHE_WORDS = 1, 4096, 32_768, 1_500_000
 
 
 class WordTokens:
-    """Ids of words, by word hash; grows to CACHE_WORDS words and starts anew."""
+    """Ids of words, by hash of the word in lower case; grows to CACHE_WORDS words and starts anew."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,41 +46,83 @@ class WordTokens:
         self._reset()
 
     def _reset(self):
-        self.keys, self.start, self.count, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.ids, self.filled = np.empty(1 << 16, np.uint32), 0
+        # sorted hashes with starts and counts of ids: all, and those learned since they were last merged
+        self.known, self.recent = self._none(), self._none()
+
+    @staticmethod
+    def _none():
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    @staticmethod
+    def _merged(x, y):
+        keys, start, count = (np.concatenate(p) for p in zip(x, y, strict=True))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], start[order], count[order]
 
     def _learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         words = [raw[i:j].decode("utf-8", "replace") for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
         found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         count = np.array([len(x) for x in found], np.int64)
-        start = len(self.ids) + np.concatenate(([0], np.cumsum(count)[:-1]))
-        self.ids = np.concatenate((self.ids, np.array([i for x in found for i in x], np.uint32)))
-        keys, start, count = (np.concatenate(x) for x in ((self.keys, keys), (self.start, start), (self.count, count)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.count = keys[order], start[order], count[order]
+        new = np.array([i for x in found for i in x], np.uint32)
+        while len(self.ids) < self.filled + len(new):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.filled : self.filled + len(new)] = new
+        start = self.filled + np.cumsum(count) - count
+        self.filled += len(new)
+        self.recent = self._merged(self.recent, (keys, start, count))
+        if len(self.recent[0]) > 1 << 16:
+            self.known, self.recent = self._merged(self.known, self.recent), self._none()
+
+    def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each hash is known, and the start and count of its ids."""
+        hit, begin, count = np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        for keys, start, n in (self.known, self.recent):
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                own = keys[place] == distinct
+                hit |= own
+                begin[own], count[own] = start[place[own]], n[place[own]]
+        return hit, begin, count
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, the end id after each, and row offsets."""
         buf, offs = K.texts(column)
-        starts, ends, at = K.word_bounds(buf, offs)
+        if b"<|" not in (raw := buf.tobytes()):  # names of special tokens are told apart by case, nothing else is
+            buf = K.TO_LOWER[buf]
+        starts, ends, at = self._units(buf, *K.word_bounds(buf, offs))
         code, distinct = pd.factorize(K.word_hashes(buf, starts, ends))
-        if len(self.keys) > CACHE_WORDS:
+        if len(self.known[0]) > CACHE_WORDS:
             self._reset()
-        place = np.searchsorted(self.keys, distinct)
-        missing = (place == len(self.keys)) | (self.keys[np.minimum(place, len(self.keys) - 1)] != distinct) if len(self.keys) else np.ones(len(distinct), bool)
-        if missing.any():
+        hit, begin, count = self._find(distinct)
+        if not hit.all():
             first = np.empty(len(distinct), np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            new = first[missing]
-            self._learn(buf.tobytes(), distinct[missing], starts[new], ends[new])
-            place = np.searchsorted(self.keys, distinct)
-        count = self.count[place][code] if len(code) else np.empty(0, np.int64)
-        begin = self.start[place][code] if len(code) else np.empty(0, np.int64)
+            new = first[~hit]
+            self._learn(raw, distinct[~hit], starts[new], ends[new])
+            _, begin, count = self._find(distinct)
+        count, begin = count[code], begin[code]
         run = np.concatenate(([0], np.cumsum(count)))
         ids = self.ids[np.repeat(begin - run[:-1], count) + np.arange(run[-1])]
         rows = run[at]
         return np.insert(ids, rows[1:], END_ID).astype("<u4"), rows + np.arange(len(rows))
 
-
+    @staticmethod
+    def _units(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, with a full stop or comma after a letter or digit as a unit of its own, where the tokenizer parts them too."""
+        if not len(starts):
+            return starts, ends, at
+        before, earlier = buf[np.maximum(ends - 2, 0)], buf[np.maximum(ends - 3, 0)]
+        letter = _ALNUM[before] | ((earlier == 0xC3) & (before != 0x97) & (before != 0xB7) & (ends - starts >= 3))
+        cut = np.flatnonzero(((buf[ends - 1] == 46) | (buf[ends - 1] == 44)) & (ends - starts >= 2) & letter)
+        stop = ends[cut] - 1
+        ends = ends.copy()
+        ends[cut] -= 1
+        return np.insert(starts, cut + 1, stop), np.insert(ends, cut + 1, stop + 1), at + np.searchsorted(cut, at)
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _loaded: dict[int, WordTokens] = {}
 
 
