@@ -13,6 +13,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -104,10 +105,17 @@ class Patricia:
         if not kid.kids and len(live) == 1:
             return  # one text alone
         out = tempfile.TemporaryFile()  # noqa: SIM115
-        held = 0
         for text, owner, rows in self._walk(kid, before):
             out.write(struct.pack("<qqq", len(text), owner, rows) + text)
-            held += len(text)
+        todo = [kid]
+        while todo:  # what was spilled below goes along, so that a text stays in one file
+            node = todo.pop()
+            todo += node.kids.values()
+            if node.spill is not None:
+                node.spill.seek(0)
+                shutil.copyfileobj(node.spill, out)
+                self.spilled.remove(node.spill)
+                node.spill.close()
         self.size = max(0, self.size - weight[id(kid)] - 200)
         kid.kids, kid.owner, kid.rows, kid.spill, kid.edge = {}, None, 0, out, kid.edge[:1]
         self.spilled.append(out)
