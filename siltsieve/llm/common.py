@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +64,14 @@ def blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Itera
         end = max(start + 1, int(size.searchsorted(before + most_bytes, "right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the machine, as workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def lower_ascii(c):

@@ -338,7 +338,7 @@ def meetings(classes: DataFrame, levels, parts: int) -> DataFrame:
     """
 
     def pack(batches):
-        for batch in batches:
+        for batch in (b.slice(k, 2000) for b in batches for k in range(0, b.num_rows, 2000)):
             m = batch.column(0).value_lengths().to_numpy()
             x = np.empty(int(m.sum()), _MANY)
             x["gram"] = batch.column(0).flatten().to_numpy()

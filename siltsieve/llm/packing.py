@@ -7,7 +7,7 @@ powers of two, so a full window needs no padding at any tier. Windows are then d
 
 A task packs the rows of its own input split, so nothing is shuffled; at most `pool` rests are held at a time, and what is
 left at the end of a task is cut into windows of smaller powers of two. Words are tokenised once and kept in a bounded cache
-of each Python worker; white space never joins tokens in this vocabulary, so ids of words make up ids of texts.
+of each task; white space never joins tokens in this vocabulary, so ids of words make up ids of texts.
 
 Defined results: a null or empty text is its end id alone; repeated rows and identifiers are packed as often as they come; a
 null identifier stays null; an empty table gives no rows; other columns are not read.
@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import blocks, table
+from .common import blocks, give_back, table
 
 TIERS = (2048, 1024, 512, 256)
-END_ID, POOL, STEP_TOKENS, CACHE_WORDS = 1, 4096, 32_768, 1_500_000
+END_ID, POOL, STEP_TOKENS, CACHE_WORDS = 1, 4096, 32_768, 700_000
 
 
 class WordTokens:
@@ -237,6 +237,8 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id",
         windows, _ = pack(rests, tiers)
         if windows:
             yield emit(windows)
+        tokens._reset()  # the worker may go on with other work
+        give_back()
 
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return columns.mapInArrow(run, ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else 'long'}" for f in schema))
