@@ -45,10 +45,22 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; a lost executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder; a lost executor loses nothing of it.
+
+    Its shuffle files go as soon as it is kept, not when the driver next collects garbage: nothing reads them again.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan of its own, made under the setting
+    finally:
+        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
 
 
 def blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -540,7 +540,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = cut(walked(large.join(whole_sets(large.select("digest"), first, texts, n), "digest"), levels, percent, checked=True))
     pairs = cut(walked(met.where(f"rows <= {LARGE}"), levels, percent, checked=False))
     more = linked(pairs, whole_sets(_ends(pairs), first, texts, n), percent)
-    found = components(sure.unionByName(found).unionByName(more))
+    found = components(roots.select(F.col("digest").alias("a"), F.col("root").alias("b")).unionByName(found).unionByName(more))
 
     named = first.select("digest", "known").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "known", F.coalesce("root", "digest").alias("root"))
     best = named.groupBy("root").agg(F.min("known").alias("component_id"))

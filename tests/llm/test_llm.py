@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siltsieve.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality_qda, quality_rules, secret_scan, toxicity
+from siltsieve.llm import components, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_qda, quality_rules, secret_scan, toxicity
 from siltsieve.llm import textkernel as K
 from siltsieve.llm.queries import QUERIES, SQL
 
@@ -125,6 +126,21 @@ def test_near_groups(docs, nothing, n, percent):
     assert ngram_join.near_groups(nothing).count() == 0
 
 
+@pytest.mark.parametrize("most", [3, 40, 1 << 17])
+def test_components_in_slices(spark, most):
+    r = random.Random(7)
+    links = [(k, k + 1) for k in range(0, 60)] + [(99 - k, 100) for k in range(20)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(120)] + [(5, 5), (3, 2), (2, 3)]
+    r.shuffle(links)
+    raw = [(b"%04d" % a, b"%04d" % b) for a, b in links]
+    edges = spark.createDataFrame([*raw, (None, b"0001")], "a binary, b binary").repartition(5)
+    parent = {}
+    for a, b in raw:
+        components.join(parent, a, b)
+    got = {bytes(x.node): bytes(x.root) for x in components.components(edges, most=most).collect()}
+    assert got == {x: components.find(parent, x) for a, b in raw if a != b for x in (a, b)}
+    assert components.components(edges.limit(0), most=most).collect() == []
+
+
 def test_mixing(docs, nothing):
     size = defaultdict(int)
     for r in rows():
