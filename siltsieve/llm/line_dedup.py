@@ -23,6 +23,8 @@ from .common import LOWER, SPACE, UPPER, cut, fresh_dir, remove_dir, table
 
 LOWEST = -(2**63)
 _STRIP = SPACE.encode()
+#: Holders of one line are looked up by so many tasks.
+SALTS = 16
 
 
 def line_hash(line: bytes, min_chars: int) -> bytes | None:
@@ -102,7 +104,10 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     runs = LineRuns(spark, fresh_dir(spark, "line-runs"), fanout)
     for k in range(n_batches):
         runs.add(lines.where(F.col("batch") == k).select("hash", "id"))
-    lost = lines.join(runs.common(min_docs), "hash").where("id <> keep_id").select("id", "hash").distinct()
+    # a line that very many documents hold is dealt to SALTS tasks; the salt goes with the identifier
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(SALTS)))
+    common = runs.common(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    lost = salted.join(common, ["hash", "salt"]).where("id <> keep_id").select("id", "hash", "salt").distinct()
     return lost.groupBy("id").agg(F.collect_list("hash").alias("drop"))
 
 
