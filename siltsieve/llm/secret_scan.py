@@ -34,7 +34,8 @@ ALLOWED = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:s
 WINDOW = 20
 #: Bits a character from which a window of 20 counts as random, by class.
 LEAST_HEX, LEAST_MIXED = 3.1, 3.7
-_XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
+#: One entry more than a window has characters: the next one comes in before the first goes out.
+_XLOGX = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 _HEXDIGITS = frozenset("0123456789abcdefABCDEF")
 
 

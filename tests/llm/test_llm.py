@@ -206,6 +206,16 @@ def test_secret_spans():
     assert np.allclose(secret_scan.window_entropies(s), naive)
 
 
+@pytest.mark.parametrize("run", [19, 20, 21, 22, 60])
+def test_secret_runs_of_one_character(spark, run):
+    texts = ["0x" + "0" * run, "foo" + "_" * run, "A" * run + "==", "x1" + "A" * run + "q7Zk29XpLm4TvB8sRy1WcD6f"]
+    for s in texts:
+        naive = [-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)]
+        assert np.allclose(secret_scan.window_entropies(s), naive)
+    got = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_entropy for r in got] == [0, 0, 0, 1]
+
+
 def test_secret_query_on_edges(docs, nothing):
     got = secret_scan.find_secrets(docs).collect()
     assert len(got) == len(rows()) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in got)
