@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; all but the last
 return the columns of `documents`. Between stages the rows are written as Parquet to the shared folder and read again, so a
-lost executor costs a part of one stage. Rows without a doc_id stay in the near-duplicate stage, as no group can name them.
+lost executor costs a part of one stage. Rows without a doc_id stay in the near-duplicate stage, as no group can name them. Of rows that
+share a doc_id each is judged by its own text: one stays if they are near duplicates, all do if their texts are unlike.
 """
 
 from __future__ import annotations
@@ -30,10 +31,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with a five-word similarity of 0.8 or more, the one with the smallest doc_id stays."""
-    groups = ngram_join.near_groups(docs, n=5, percent=80)
-    lost = cut(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(F.broadcast(lost) if lost.count() <= ngram_join.MOST_BROADCAST else lost, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents with a five-word similarity of 0.8 or more, one row with the smallest doc_id stays.
+
+    Rows are numbered and kept, so that their numbers stay; a doc_id that occurs twice would name two rows.
+    """
+    names, at = [f"c{k}" for k in range(len(docs.columns))], fresh_dir(spark, "near-rows")
+    docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()).write.parquet(at)
+    rows = spark.read.parquet(at)
+    ident, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    groups = ngram_join.near_groups(rows, ident, text, n=5, percent=80, key_col="row")
+    lost = cut(groups.where("doc_id is not null and key <> keep_key").select(F.col("key").alias("row")))
+    return rows.join(F.broadcast(lost) if lost.count() <= ngram_join.MOST_BROADCAST else lost, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

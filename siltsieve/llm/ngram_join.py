@@ -120,8 +120,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """id, n (set size), digest, prefix (in the global order), m0.. (minimum hashes) of every row."""
-    names = ["id", "n", "digest", "prefix", *(f"m{k}" for k in range(MINHASHES))]
+    """id, n (set size), digest, prefix (in the global order), m0.. (minimum hashes) of every row, and its key if docs has a third column."""
+    keyed = docs.columns[2:]
+    names = ["id", "n", "digest", "prefix", *(f"m{k}" for k in range(MINHASHES)), *keyed]
 
     def rows(batches):
         level = levels.value
@@ -142,9 +143,9 @@ def set_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                     minimum.append([int(_signed(K.fmix(u * s).min(keepdims=True))[0]) for s in _SALT])
                 offs = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offs, np.concatenate(prefix))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, *(pa.array([m[k] for m in minimum], pa.int64()) for k in range(MINHASHES))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, *(pa.array([m[k] for m in minimum], pa.int64()) for k in range(MINHASHES)), *part.columns[2:]], names=names)
 
-    return docs.mapInArrow(rows, "id long, n long, digest binary, prefix array<long>, " + ", ".join(f"m{k} long" for k in range(MINHASHES)))
+    return docs.mapInArrow(rows, "id long, n long, digest binary, prefix array<long>, " + ", ".join([*(f"m{k} long" for k in range(MINHASHES)), *(f"{k} long" for k in keyed)]))
 
 
 def _only(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -506,15 +507,21 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (smallest identifier that links reach)."""
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 5, percent: int = 80, key_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (smallest identifier that links reach).
+
+    With `key_col`, a column of unique longs: key, and keep_key, the key of the one row that has the component's smallest
+    identifier and of these the smallest key (null where no row of the component has an identifier, and for empty sets).
+    """
     texts = _texts(docs, id_col, text_col)
+    keyed = key_col is not None
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(texts, "text", n))
-    rows = cut(set_rows(texts, levels, n, percent).withColumn("row", F.monotonically_increasing_id()))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("long").alias("key")) if keyed else texts
+    rows = cut(set_rows(source, levels, n, percent).withColumn("row", F.monotonically_increasing_id()))
     # one row of each set goes on; the others are named by their row numbers
     full = rows.where("n > 0")
-    first = full.groupBy("digest").agg(F.min(F.struct(F.coalesce("id", F.lit(LOWEST)).alias("id"), "row")).alias("rep"), F.min("id").alias("known"))
-    first = cut(first.select("digest", "known", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row")))
+    first = full.groupBy("digest").agg(F.min(F.struct(F.coalesce("id", F.lit(LOWEST)).alias("id"), "row")).alias("rep"), F.min("id").alias("known"), *[F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("keeper")] * keyed)
+    first = cut(first.select("digest", "known", F.col("rep.id").alias("rep"), F.col("rep.row").alias("row"), *["keeper"] * keyed))
     others = cut(full.select("digest", "row").join(first.select("digest", F.col("row").alias("first")), "digest").where("row <> first").select("row"))
     classes = full.join(_small(others), "row", "left_anti")
 
@@ -542,11 +549,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = linked(pairs, whole_sets(_ends(pairs), first, texts, n), percent)
     found = components(roots.select(F.col("digest").alias("a"), F.col("root").alias("b")).unionByName(found).unionByName(more))
 
-    named = first.select("digest", "known").join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "known", F.coalesce("root", "digest").alias("root"))
-    best = named.groupBy("root").agg(F.min("known").alias("component_id"))
-    by_digest = named.join(best, "root").select("digest", "component_id")
-    joined = rows.select("id", "n", "digest").join(by_digest, "digest", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    named = first.select("digest", "known", *["keeper"] * keyed).join(found.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "known", *["keeper"] * keyed, F.coalesce("root", "digest").alias("root"))
+    best = named.groupBy("root").agg(F.min("known").alias("component_id"), *[F.min("keeper").getField("key").alias("keep_key")] * keyed)
+    by_digest = named.join(best, "root").select("digest", "component_id", *["keep_key"] * keyed)
+    joined = rows.select("id", "n", "digest", *["key"] * keyed).join(by_digest, "digest", "left")
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *["key", "keep_key"] * keyed)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

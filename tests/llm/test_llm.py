@@ -286,3 +286,14 @@ def test_pipeline_stages(spark):
             docs = docs.checkpoint()
             assert docs.columns == columns and docs.count() > 0
     assert docs.groupBy("sequence_id").sum("length").toPandas()["sum(length)"].max() <= 2048
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    every = [(1, one, "a"), (2, one, "a"), (2, two, "a"), (3, three, "a"), (3, three, "a"), (3, three + " tail", "b"), (4, "", "a"), (4, "", "a"), (None, one, "a"), (None, one, "a"), (5, three, "a")]
+    docs = spark.createDataFrame(every, "doc_id long, text string, row string").repartition(3)
+    got = pipeline.near_duplicate_stage(spark, docs, AT)
+    assert got.columns == docs.columns
+    got = [(r.doc_id, "three" if (r.text or "").startswith("z0") else r.text) for r in got.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, one), (2, two), (3, "three"), (4, ""), (4, ""), (None, one), (None, one)]))
