@@ -120,16 +120,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each document and epoch that takes it, its text cut to the words taken."""
+    """The mix itself, with the columns of docs: a row for each document and epoch that takes it, its text cut to the words taken.
+
+    Rows are sorted by the first slot that takes them and, within it, by their place on the source's line.
+    """
     pieces = taken_pieces(docs, id_col, text_col, source_col, **how).where("to > from")
-    spans = pieces.groupBy("key", "bucket", "ord", "row_hash", "size", "epoch").agg(F.min("from").alias("a"), F.max("to").alias("b"))
-    spans = spans.groupBy("key", "bucket", "ord", "row_hash", "size").agg(F.array_sort(F.collect_list(F.struct("epoch", "a", "b"))).alias("spans"))
+    spans = pieces.groupBy("key", "bucket", "ord", "row_hash", "size", "epoch").agg(F.min("slot").alias("slot"), F.min("from").alias("a"), F.max("to").alias("b"))
+    spans = spans.groupBy("key", "bucket", "ord", "row_hash", "size").agg(F.array_sort(F.collect_list(F.struct("epoch", "slot", "a", "b"))).alias("spans"))
     turn = lambda *by: F.row_number().over(Window.partitionBy("row_hash").orderBy(*by))  # noqa: E731  rows that repeat are told apart by number
-    spans = spans.select("row_hash", "size", "spans", turn("bucket", "ord").alias("turn"))
+    spans = spans.select("row_hash", "size", "spans", "bucket", "ord", turn("bucket", "ord").alias("turn"))
     names = [f"c{k}" for k in range(len(docs.columns))]
     ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     rows = docs.toDF(*names).withColumn("row_hash", F.xxhash64(F.col(ident).cast("long"), F.col(text))).withColumn("turn", turn(ident))
-    out = rows.join(spans, ["row_hash", "turn"]).withColumn("span", F.explode("spans"))
+    out = rows.join(spans, ["row_hash", "turn"]).withColumn("span", F.explode("spans")).drop("spans")
+    out = out.orderBy("span.slot", "bucket", "ord", "span.epoch")
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.slice(words, (F.col("span.a") + 1).cast("int"), (F.col("span.b") - F.col("span.a")).cast("int")), " ")
     whole = (F.col("span.a") == 0) & (F.col("span.b") == F.col("size"))

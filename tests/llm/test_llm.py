@@ -297,3 +297,21 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert got.columns == docs.columns
     got = [(r.doc_id, "three" if (r.text or "").startswith("z0") else r.text) for r in got.collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(1, one), (2, two), (3, "three"), (4, ""), (4, ""), (None, one), (None, one)]))
+
+
+def test_mixed_rows_in_order_of_slots(spark):
+    every = [(k, f"w{k} x y z", f"s{k % 3}") for k in range(300)]
+    docs = spark.createDataFrame(every, "doc_id long, text string, source string").repartition(5)
+    pieces = mixing.taken_pieces(docs, block=16).where("to > from").collect()
+    first = {}
+    for r in pieces:
+        first[r.id, r.epoch] = min(r.slot, first.get((r.id, r.epoch), r.slot))
+    slots = defaultdict(list)
+    for (key, _), slot in sorted(first.items()):
+        slots[key].append(slot)
+    seen = Counter()
+    got = []
+    for r in mixing.mixed_documents(docs, block=16).collect():
+        got.append(sorted(slots[r.doc_id])[seen[r.doc_id]])
+        seen[r.doc_id] += 1
+    assert len(got) == len(first) and got == sorted(got)
