@@ -27,7 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops long lines that five and more documents hold, but for one of them."""
-    return _counted(line_dedup.clean_lines(docs).drop("n_lines", "n_dropped")).select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # docs may have n_lines and n_dropped of its own
+    ident, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    return _counted(line_dedup.clean_lines(docs.toDF(*names), ident, text).select(*names).toDF(*docs.columns)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -315,3 +315,12 @@ def test_mixed_rows_in_order_of_slots(spark):
         got.append(sorted(slots[r.doc_id])[seen[r.doc_id]])
         seen[r.doc_id] += 1
     assert len(got) == len(first) and got == sorted(got)
+
+
+def test_line_stage_keeps_clashing_columns(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    line = "a line of boilerplate that is long enough to count"
+    docs = spark.createDataFrame([(k, f"own {k}\n{line}", 7, k, "d") for k in range(6)], "doc_id long, text string, n_lines int, n_dropped long, drop string")
+    got = pipeline.line_stage(spark, docs, AT)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(k, f"own {k}" + f"\n{line}" * (k == 5), 7, k, "d") for k in range(6)]
