@@ -88,7 +88,9 @@ class WordTokens:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, the end id after each, and row offsets."""
         buf, offs = K.texts(column)
-        if b"<|" not in (raw := buf.tobytes()):  # names of special tokens are told apart by case, nothing else is
+        # case tells apart names of special tokens, and letters before combining marks (U+0300 to U+036F), where only the lower one may be composed
+        raw = buf.tobytes()
+        if not any(x in raw for x in (b"<|", b"\xcc", b"\xcd")):
             buf = K.TO_LOWER[buf]
         starts, ends, at = self._units(buf, *K.word_bounds(buf, offs))
         code, distinct = pd.factorize(K.word_hashes(buf, starts, ends))

@@ -324,3 +324,13 @@ def test_line_stage_keeps_clashing_columns(spark):
     got = pipeline.line_stage(spark, docs, AT)
     assert got.columns == docs.columns
     assert sorted(tuple(r) for r in got.collect()) == [(k, f"own {k}" + f"\n{line}" * (k == 5), 7, k, "d") for k in range(6)]
+
+
+def test_word_ids_of_decomposed_letters():
+    from tokenizers import Tokenizer
+
+    text = packing.vocabulary()
+    tokenizer, words = Tokenizer.from_str(text), packing.WordTokens(text)
+    for t in [x + m for x, m in zip("TWYJHtwyjh", "\u0308\u030a\u030a\u030c\u0331" * 2, strict=True)] + ["The tail", "the TAIL e\u0301"]:
+        ids, offs = words.encode(pa.array([t]))
+        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1], t
