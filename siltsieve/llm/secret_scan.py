@@ -3,7 +3,8 @@
 Candidates are runs of token characters. Over each a window of fixed length slides; the counts of its characters change by
 one in and one out, and the window's entropy follows from a running sum of count * log2(count), so a step costs the same
 however long the window is. Windows are judged per character class (hex, base 64), overlapping ones merge into one span, and
-an allow-list suppresses identifiers that only look random.
+an allow-list suppresses identifiers that only look random. A window counts only with at least 2 digits and 2 letters, and
+all-letter and all-digit candidates are skipped whatever their entropy, so that long names are no secrets.
 
 Spans are offsets in code points, the end exclusive; an `assign` span is the whole match, key and value. Defined results: a
 null or empty text has no spans and the digest of an empty string; repeated rows give repeated rows; whole texts are scanned
