@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -24,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine."""
     sc = spark.sparkContext
     if (at := sc._jsc.sc().getCheckpointDir()).isDefined():
         return at.get()
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="siltsieve-checkpoint-")
     sc.setCheckpointDir(at)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -45,6 +48,7 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_one_at_a_time = threading.Lock()
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -55,12 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_dir(spark)
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
-        return df.select("*").checkpoint()  # a plan of its own, made under the setting
-    finally:
-        spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
+    with _one_at_a_time:  # the setting is the session's, and threads may share it
+        before = spark.conf.get(_FREE, None)
+        spark.conf.set(_FREE, "true")
+        try:
+            return df.select("*").checkpoint()  # a plan of its own, made under the setting
+        finally:
+            spark.conf.set(_FREE, before) if before is not None else spark.conf.unset(_FREE)
 
 
 def blocks(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -49,8 +49,8 @@ MOST_BROADCAST = 200_000
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each row."""
     buf, offs = K.texts(column)
-    starts, ends, at = K.word_bounds(buf, offs)
-    h, h_at = K.shingle_hashes(K.word_hashes(K.TO_LOWER[buf], starts, ends), at, n)
+    words, _, at = K.words_of(K.TO_LOWER[buf], offs)
+    h, h_at = K.shingle_hashes(words, at, n)
     for a, b in zip(h_at[:-1].tolist(), h_at[1:].tolist(), strict=True):
         yield np.unique(h[a:b])
 

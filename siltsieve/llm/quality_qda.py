@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import blocks, cut, table
-from .linear import fit_platt, sigmoid
+from .linear import below_share, fit_platt, sigmoid, with_slack
 from .quality_rules import dup_lines, repeat_words
 from .toxicity import fold_expr
 
 SHRINK_POOLED, SHRINK_DIAGONAL, FLOOR = 0.05, 0.05, 1e-3
-#: Labelled training rows whose scores fix the temperature.
+#: About so many labelled training rows (a few more at most) fix the temperature.
 CALIBRATION = 4000
 THRESHOLD = 0.5
 
@@ -54,11 +54,10 @@ def _share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
 def statistics(column: pa.Array) -> np.ndarray:
     """One row of transformed statistics for each text."""
     buf, offs = K.texts(column)
-    starts, ends, at = K.word_bounds(buf, offs)
-    words = K.word_hashes(buf, starts, ends)
+    words, lengths, at = K.words_of(buf, offs)
     n_bytes, n_words = np.diff(offs), np.diff(at)
-    out = [np.log1p(n_bytes), np.log1p(n_words), np.log1p(K.row_sums((ends - starts).astype(float), at) / np.maximum(n_words, 1))]
-    out += [_share(K.row_sums(kind[buf], offs), n_bytes) for kind in _SHARES.values()]
+    out = [np.log1p(n_bytes), np.log1p(n_words), np.log1p(K.row_sums(lengths.astype(float), at) / np.maximum(n_words, 1))]
+    out += [_share(K.byte_sums(kind, buf, offs), n_bytes) for kind in _SHARES.values()]
     row = np.repeat(np.arange(len(n_words)), n_words)
     first = ~pd.Series(words + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).duplicated().to_numpy() if len(words) else np.empty(0, bool)
     same = np.zeros(len(words))
@@ -66,7 +65,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         same[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
     raw = buf.tobytes()
     lines = np.array([dup_lines(raw[i:j]) for i, j in zip(offs[:-1], offs[1:], strict=True)], float)
-    out += [np.log((K.row_sums(first.astype(float), at) + 1) / (n_words + 1)), _share(K.row_sums(same, at), n_words), _share(repeat_words(buf, starts, ends, words, at), n_words), _share(lines, K.row_sums((buf == 10).astype(float), offs) + 1)]
+    out += [np.log((K.row_sums(first.astype(float), at) + 1) / (n_words + 1)), _share(K.row_sums(same, at), n_words), _share(repeat_words(words, at), n_words), _share(lines, K.byte_sums(_SHARES["line"], buf, offs) + 1)]
     return np.stack(out, 1)
 
 
@@ -140,7 +139,9 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, where) -> Qda:
         total[r.y, r.pos] = r.v
     model = Qda(total[:, 0], total[:, 1 : 1 + D], total[:, 1 + D :].reshape(2, D, D))
     if model.ok:
-        some = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("stats", "y").collect()
+        # every row is taken or left by its own hash, so about CALIBRATION rows reach the driver however many partitions there are
+        share = with_slack(CALIBRATION) / total[:, 0].sum()
+        some = rows.where(below_share(share, "doc_id", F.lit(13))).select("stats", "y").collect()
         if some:
             y = np.array([r.y for r in some])
             z = np.clip(model.margin(np.array([r.stats for r in some])), -60, 60)

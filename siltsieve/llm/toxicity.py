@@ -1,13 +1,17 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed n-grams of the lower-cased (A-Z) bytes. For each the log ratio of its smoothed shares in
-toxic and in clean training documents is taken; logistic regression learns weights for presence times ratio. The weights that
-matter are kept (`features`, largest first), so scoring a text is a table look-up for each byte and a distinct count over the
-few positions that hit. Scores are calibrated (Platt) on held-back training rows.
-
-The training sample is bounded by `sample` (documented, the only bound); whole texts are learned from and scored. Defined
-results: a null or empty text scores by the intercept alone; with labels of one class or none every score is the smoothed
-share of that class; repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
+Features are the presence of hashed n-grams of 3 to 6 characters (code points, A-Z lowered). For each the log ratio of its
+smoothed shares in toxic and in clean training documents is taken; logistic regression learns weights for presence times
+ratio. The weights that matter are kept (`features`, largest first), so scoring a text is a table look-up for each character
+and a distinct count over the few positions that hit. Scores are calibrated (Platt) on held-back training rows.
+
+A score is the probability of toxicity were both classes as common (`PRIOR`): both fits weigh the classes so, whatever their
+shares among the labels or in the sample, and a fixed threshold means the same at every size.
+
+The training sample is bounded by `sample` rows and linear.SAMPLE_BYTES (the only bounds); whole texts are learned from and
+scored, long ones in pieces. Defined results: a null or empty text scores by the intercept alone; with labels of one class or
+none every score is the smoothed share of that class; repeated rows give repeated rows; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -24,27 +28,41 @@ from .common import blocks, table
 from .linear import Rows, fit_logistic, fit_platt, labelled_sample, sigmoid
 
 BITS = 17
-NGRAMS = (5, 7)
-SAMPLE, FEATURES, L2, THRESHOLD = 4000, 20_000, 1e-3, 0.3
-SMOOTH = 1.0
+NGRAMS = (3, 4, 5, 6)
+SAMPLE, FEATURES, L2, THRESHOLD = 4000, 5000, 1e-2, 0.3
+#: Pseudo-documents of each class that hold every feature: rare n-grams get small ratios.
+SMOOTH = 5.0
+PRIOR = 0.5
 N = len(NGRAMS) << BITS
 
 
-def presence(buf: np.ndarray, offs: np.ndarray, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of each row and row offsets; with `useful`, only those that it marks."""
-    buf = K.TO_LOWER[buf]
-    n_rows = len(offs) - 1
+def presence(buf: np.ndarray, offs: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features, of those that `useful` marks, of each row and row offsets."""
+    points, offs = K.code_points(buf, offs)
     keys = []
-    for k, n in enumerate(NGRAMS):
-        code = K.ngram_codes(buf, offs, n, BITS)
-        hit = code >= 0
-        code += k << BITS
-        if useful is not None:
+    for part, part_offs, first in K.pieces(points, offs, max(NGRAMS) - 1):
+        for k, code in enumerate(K.point_ngrams(part, part_offs, NGRAMS, BITS)):
+            hit = code >= 0
+            code += k << BITS
             hit &= useful[code]
-        at = np.flatnonzero(hit)
-        keys.append((np.searchsorted(offs, at, "right") - 1) * N + code[at])
+            at = np.flatnonzero(hit)
+            keys.append(np.unique((first + np.searchsorted(part_offs, at, "right") - 1) * N + code[at]))
     keys = np.unique(np.concatenate(keys))
-    return keys % N, np.searchsorted(keys, np.arange(n_rows + 1) * N)
+    return keys % N, np.searchsorted(keys, np.arange(len(offs)) * N)
+
+
+def all_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of each row and row offsets; a row marks a table, so nothing is sorted."""
+    points, offs = K.code_points(buf, offs)
+    mark, out = np.zeros(N, bool), []
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        own = points[a:b]
+        for part, part_offs, _ in K.pieces(own, np.array([0, len(own)]), max(NGRAMS) - 1):
+            for k, code in enumerate(K.point_ngrams(part, part_offs, NGRAMS, BITS)):
+                mark[code[: max(0, len(part) - NGRAMS[k] + 1)] + (k << BITS)] = True
+        out.append(np.flatnonzero(mark))
+        mark[out[-1]] = False
+    return np.concatenate([np.empty(0, np.int64), *out]), np.cumsum([0, *map(len, out)])
 
 
 def _chunks(texts: list[bytes], useful: np.ndarray | None = None, most_bytes: int = 1 << 20):
@@ -56,13 +74,20 @@ def _chunks(texts: list[bytes], useful: np.ndarray | None = None, most_bytes: in
             size += len(texts[end])
             end += 1
         own = texts[start:end]
-        columns, at = presence(np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)]), useful)
+        block = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+        columns, at = all_features(*block) if useful is None else presence(*block, useful)
         yield np.arange(start, end), columns, at
         start = end
 
 
-def train(texts: list[bytes], y: np.ndarray, *, l2: float = L2, features: int = FEATURES) -> tuple[np.ndarray, float, float, float]:
-    """Weight of each feature, intercept, calibration a, b. Every fifth row is held back for the calibration."""
+def _balanced(y: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Weights that give the classes these shares."""
+    n1 = int(y.sum())
+    return np.where(y == 1, prior / max(1, n1), (1 - prior) / max(1, len(y) - n1))
+
+
+def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None, *, l2: float = L2, features: int = FEATURES) -> tuple[np.ndarray, float, float, float]:
+    """Weight of each feature, intercept, calibration a, b. Every fifth row is held back for the calibration. Sampling weights are not used, as both fits balance the classes."""
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.0) / (len(y) + 2) if not len(y) or y.max() == 0 else (y.sum() + 1) / (len(y) + 2)
         p = min(max(p, 1e-6), 1 - 1e-6)
@@ -92,8 +117,8 @@ def train(texts: list[bytes], y: np.ndarray, *, l2: float = L2, features: int =
         own = columns[use]
         return Rows(own, ratio[top][own].astype(np.float32), np.concatenate(([0], np.cumsum(count[mask]))))
 
-    w, b = fit_logistic(rows(~held), y[~held], len(top), l2)
-    a, c = fit_platt(rows(held).dot(w) + b, y[held])
+    w, b = fit_logistic(rows(~held), y[~held], len(top), l2, weight=_balanced(y[~held]))
+    a, c = fit_platt(rows(held).dot(w) + b, y[held], _balanced(y[held]))
     out = np.zeros(N, np.float32)
     out[top] = w * ratio[top]
     return out, float(b), float(a), float(c)
