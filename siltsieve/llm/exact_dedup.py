@@ -27,6 +27,10 @@ from .common import LOWER, UPPER, table
 LOWEST = -(2**63)
 
 
+#: What a node takes besides its edge.
+NODE_BYTES = 200
+
+
 class Node:
     __slots__ = ("edge", "kids", "owner", "rows", "spill")
 
@@ -47,7 +51,12 @@ def _common(a: bytes, b: bytes, at: int) -> int:
 
 
 class Patricia:
-    """A compressed radix trie over byte strings; when its edges exceed `most_bytes`, whole subtrees go to a file and are finished later, one at a time."""
+    """A compressed radix trie over byte strings; when its nodes exceed `most_bytes`, whole subtrees go to a file and are finished later, one at a time.
+
+    `size` is the bytes of all edges and NODE_BYTES for each node, exactly: a subtree that goes takes off what its own nodes
+    hold, so a prefix that many texts share counts once. The files are the task's own; a lost executor's are made anew with
+    its tasks.
+    """
 
     def __init__(self, most_bytes: int = 64 << 20, smallest: bool = True):
         self.root, self.most, self.size, self.pick = Node(b""), most_bytes, 0, min if smallest else max
@@ -69,7 +78,7 @@ class Patricia:
             if kid is None:
                 kid = node.kids[text[at]] = Node(text[at:])
                 self._own(kid, owner, rows)
-                self.size += len(kid.edge) + 200
+                self.size += len(kid.edge) + NODE_BYTES
                 if self.size > self.most:
                     self._spill()
                 return
@@ -79,7 +88,7 @@ class Patricia:
                 kid.edge = kid.edge[same:]
                 upper.kids[kid.edge[0]] = kid
                 node.kids[text[at]] = kid = upper
-                self.size += 200
+                self.size += NODE_BYTES
             node, at = kid, at + same
 
     def _walk(self, node: Node, before: bytes) -> Iterator[tuple[bytes, int, int]]:
@@ -91,6 +100,16 @@ class Patricia:
                 yield whole, node.owner, node.rows
             todo += [(kid, whole) for kid in node.kids.values()]
 
+    @staticmethod
+    def _held(node: Node) -> int:
+        """Bytes of the nodes of a subtree."""
+        todo, held = [node], 0
+        while todo:
+            node = todo.pop()
+            held += len(node.edge) + NODE_BYTES
+            todo += node.kids.values()
+        return held
+
     def _spill(self) -> None:
         """Moves the heaviest subtree below the first branching to a file of its own."""
         node, before = self.root, b""
@@ -100,8 +119,8 @@ class Patricia:
         before += node.edge
         if not live:
             return
-        weight = {id(x): sum(len(t) for t, _, _ in self._walk(x, b"")) for x in live}
-        kid = max(live, key=lambda x: weight[id(x)])
+        held = {id(x): self._held(x) for x in live}
+        kid = max(live, key=lambda x: held[id(x)])
         if not kid.kids and len(live) == 1:
             return  # one text alone
         out = tempfile.TemporaryFile()  # noqa: SIM115
@@ -116,8 +135,8 @@ class Patricia:
                 shutil.copyfileobj(node.spill, out)
                 self.spilled.remove(node.spill)
                 node.spill.close()
-        self.size = max(0, self.size - weight[id(kid)] - 200)
         kid.kids, kid.owner, kid.rows, kid.spill, kid.edge = {}, None, 0, out, kid.edge[:1]
+        self.size -= held[id(kid)] - len(kid.edge) - NODE_BYTES
         self.spilled.append(out)
 
     def finish(self) -> Iterator[tuple[bytes, int, int]]:
