@@ -32,6 +32,7 @@ from . import textkernel as K
 from .common import blocks, give_back, table
 
 TIERS = (2048, 1024, 512, 256)
+VOCABULARY = "word_bpe_49k.json"
 END_ID, POOL, STEP_TOKENS, CACHE_WORDS = 1, 4096, 32_768, 700_000
 
 
@@ -86,8 +87,18 @@ class WordTokens:
         return hit, begin, count
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows, the end id after each, and row offsets."""
+        """Ids of all rows, the end id after each, and row offsets; a long row is encoded a piece at a time."""
         buf, offs = K.texts(column)
+        if len(buf) <= K.PIECE:
+            return self._encode(buf, offs)
+        ids, at = [], [0]
+        for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            own = [self._encode(part, np.array([0, len(part)]))[0][:-1] for part in K.split_at_spaces(buf[i:j])]
+            ids += [*own, np.array([END_ID], "<u4")]
+            at.append(at[-1] + sum(map(len, own)) + 1)
+        return np.concatenate(ids), np.array(at)
+
+    def _encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # case tells apart names of special tokens, and letters before combining marks (U+0300 to U+036F), where only the lower one may be composed
         raw = buf.tobytes()
         if not any(x in raw for x in (b"<|", b"\xcc", b"\xcd")):
@@ -136,6 +147,24 @@ def _tokens(vocabulary: str) -> WordTokens:
     return _loaded[key]
 
 
+#: Texts that show whether white space, the case of A-Z and a stop after a letter part or change tokens, as `WordTokens` takes for granted.
+_PROBES = ("Plain words", "two  gaps\tand\nlines ", "ENDS here. And, THERE.", "a1. B2, c3", "caf\u00e9. \u00dcber, na\u00efve", "x.y z,w ... -- (it's) 12,500.75", "\u65e5\u672c \u8a9e. \u044f\u0437\u044b\u043a, ok")
+
+
+def check_vocabulary(vocabulary: str) -> None:
+    """Raises if ids of words do not make up ids of texts in this vocabulary."""
+    words = WordTokens(vocabulary)
+    got, offs = words.encode(pa.array(_PROBES))
+    for text, a, b in zip(_PROBES, offs[:-1], offs[1:], strict=True):
+        if got[a:b].tolist() != [*words.tokenizer.encode(text, add_special_tokens=False).ids, END_ID]:
+            raise ValueError(f"this vocabulary's tokens cross words or depend on case: {text!r}")
+
+
+def token_ids(vocabulary: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all rows by the task's cache of words, the end id after each, and row offsets."""
+    return _tokens(vocabulary).encode(column)
+
+
 def pack(rests: list[tuple[int, int, int]], tiers: tuple[int, ...] = TIERS, last: bool = True) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """rests: (length, document, start). Full windows as lists of (document, start, length), and the rests that filled none.
 
@@ -186,6 +215,7 @@ SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 
 def pack_documents(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group, and with `with_ids` the ids."""
+    check_vocabulary(vocabulary)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = pa.schema([*SCHEMA, ("ids", pa.list_(pa.int32()))]) if with_ids else SCHEMA
 
@@ -245,7 +275,7 @@ def pack_documents(docs: DataFrame, *, vocabulary: str, id_col: str = "doc_id",
     return columns.mapInArrow(run, ", ".join(f"{f.name} {'array<int>' if f.name == 'ids' else 'long'}" for f in schema))
 
 
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     """The text of a public tokenizer file, read by the driver and sent to the tasks."""
     import public_tokenizers
 

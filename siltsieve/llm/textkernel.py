@@ -91,8 +91,8 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return fmix((run[ends] - run[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def _long_row(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and byte lengths of the words of one long row, a piece at a time; a word longer than a piece is hashed on its own."""
+def split_at_spaces(buf: np.ndarray) -> Iterator[np.ndarray]:
+    """A long row in parts of at most a piece that end after white space; a word longer than that is a part of its own."""
     s, n = 0, len(buf)
     while s < n:
         e = min(s + PIECE, n)
@@ -104,15 +104,20 @@ def _long_row(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 while e < n and not len(gap := np.flatnonzero(IS_SPACE[buf[e : e + PIECE]])):
                     e = min(e + PIECE, n)
                 e = e + int(gap[0]) if e < n else n
-                yield np.array([int.from_bytes(hashlib.blake2b(buf[s:e], digest_size=8).digest(), "little")], U), np.array([e - s])
-                s = e
-                continue
-        part = buf[s:e]
-        starts, ends, _ = word_bounds(part, np.array([0, len(part)]))
-        yield word_hashes(part, starts, ends), ends - starts
+        yield buf[s:e]
         s = e
 
 
+def _long_row(buf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and byte lengths of the words of one long row, a piece at a time; a word longer than a piece is hashed on its own."""
+    for part in split_at_spaces(buf):
+        if len(part) > PIECE:
+            yield np.array([int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little")], U), np.array([len(part)])
+        else:
+            starts, ends, _ = word_bounds(part, np.array([0, len(part)]))
+            yield word_hashes(part, starts, ends), ends - starts
+
+
 def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and byte lengths of all words, and for each row where its words begin among them (n + 1).
 
