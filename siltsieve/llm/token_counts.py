@@ -30,6 +30,8 @@ from . import textkernel as K
 from .common import blocks, fresh_dir, give_back, table
 from .packing import VOCABULARY, token_ids, vocabulary
 
+#: Documents of fewer characters are withdrawn in the query.
+SHORT = 200
 KEYS = ["source", "lang", "tokenizer"]
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long"
 ARROW = pa.schema([("source", pa.string()), ("lang", pa.string()), ("tokenizer", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
@@ -154,17 +156,16 @@ class Rollup:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches, one of them sent twice.
+    """Totals after three batches, one of them sent twice.
 
-    All documents are loaded by words-1 and bytes-1; words-1 is revised to word-bpe-49k; documents that labels call bad
-    (quality 0) are deleted from both versions; the revision is sent again and ignored.
+    All documents are loaded by words-1 and bytes-1; words-1 is revised to word-bpe-49k; documents of less than SHORT
+    characters are deleted from both versions; the revision is sent again and ignored.
     """
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), table(spark, sf_dir, "labels")
-    bad = labels.where("quality = 0").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
     rollup = Rollup(spark, fresh_dir(spark, "token-rollup"))
     rollup.commit("load", inserts(docs, "words-1", "bytes-1"))
     rollup.commit("new-tokenizer", revisions(docs, "words-1", "word-bpe-49k"))
-    rollup.commit("withdraw-bad", deletes(docs.join(bad, "doc_id", "left_semi"), "word-bpe-49k", "bytes-1"))
+    rollup.commit("withdraw-short", deletes(docs.where(F.length(F.coalesce("text", F.lit(""))) < SHORT), "word-bpe-49k", "bytes-1"))
     rollup.commit("new-tokenizer", revisions(docs, "words-1", "word-bpe-49k"))
     return rollup.totals()
 
