@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Components of more items are left whole, as one cluster: complete linkage is cubic in them.
 LARGEST = 200
 
 
@@ -59,3 +61,21 @@ def cluster_components(edges: DataFrame, roots: DataFrame, largest: int = LARGES
         return pd.DataFrame([(key[0], k, i) for k, c in enumerate(found) for i in c], columns=["root", "cluster", "id"])
 
     return inside.groupBy("root").applyInPandas(run, f"root {kind}, cluster int, id {kind}").unionByName(whole)
+
+
+def first_fit_components(members: DataFrame, edges: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """members: root, id, place (its order in the component); edges: a, b -> root, cluster, id. Larger components stay whole."""
+    kind = dict(members.dtypes)["id"]
+    sizes = members.groupBy("root").count()
+    named = members.join(sizes, "root")
+    whole = named.where(f"count > {largest}").selectExpr("root", "cast(0 as int) cluster", "id")
+    small = named.where(f"count <= {largest}").select("root", "id", "place")
+    inside = edges.join(small.select(F.col("id").alias("a"), F.col("root").alias("part")), "a").select("part", "a", "b")
+
+    def run(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        known = {(min(a, b), max(a, b)) for a, b in zip(links.a, links.b, strict=True)}
+        found = first_fit(rows.sort_values(["place", "id"]).id.tolist(), known)
+        return pd.DataFrame([(key[0], k, i) for k, c in enumerate(found) for i in c], columns=["root", "cluster", "id"])
+
+    out = small.groupBy("root").cogroup(inside.groupBy("part")).applyInPandas(run, f"root {dict(members.dtypes)['root']}, cluster int, id {kind}")
+    return out.unionByName(whole)

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltsieve.functions import text as T
+from siltsieve.operators import graph
 
 
 def exact_groups(items: DataFrame, content: str = "content", size: str = "size_bytes") -> DataFrame:
-    """items of identical content with `key`: equal size, then equal SHA-256 of the first 64 KB, then of all.
+    """items (without their content) of identical content with `key`: equal size, then equal SHA-256 of the first 64 KB and of all.
 
-    Each stage reads only what the last left: sizes that occur once never have their content hashed. Counting is partial
-    before each shuffle and the counts, not the items, are joined by size.
+    Sizes that occur once never have their content hashed; what is shuffled are digests and the other columns, never content.
     """
     again = items.groupBy(size).agg(F.count("*").alias("n")).where("n > 1").select(size)
-    head = items.join(again, size, "left_semi").withColumn("head", F.sha2(F.substring(F.col(content).cast("binary"), 1, 65_536), 256))
-    heads = head.groupBy(size, "head").agg(F.count("*").alias("n")).where("n > 1").select(size, "head")
-    return head.join(heads, [size, "head"], "left_semi").withColumn("key", F.sha2(F.col(content).cast("binary"), 256)).drop("head")
+    raw = F.col(content).cast("binary")
+    hashed = items.join(again, size, "left_semi").withColumn("head", F.sha2(F.substring(raw, 1, 65_536), 256)).withColumn("key", F.when(F.octet_length(raw) <= 65_536, F.col("head")).otherwise(F.sha2(raw, 256))).drop(content)
+    same = hashed.groupBy("head", "key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return hashed.join(same, "key", "left_semi").drop("head")
 
 
 def keeper(members: DataFrame, group: str, order: list[Column]) -> DataFrame:
@@ -34,41 +36,34 @@ def duplicate_groups(items: DataFrame, ident: str = "id") -> DataFrame:
 
 
 def same_key_pairs(units: DataFrame, ident: str, key: str) -> DataFrame:
-    """Star edges: every item of a key with the smallest; as good as all pairs for components, and linear."""
-    least = units.groupBy(key).agg(F.min(ident).alias("a"), F.count("*").alias("n")).where("n > 1")
-    return units.join(least, key).where(F.col(ident) != F.col("a")).select("a", F.col(ident).alias("b"))
+    """Star edges: every item of a key with the smallest; as good as all pairs for components, and linear. Keys are computed once."""
+    rows = graph.kept(units.select(F.col(ident).alias("b"), key))
+    least = rows.groupBy(key).agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(least, key).where("b <> a").select("a", "b")
 
 
-def edited_versions(units: DataFrame, ident: str, words: str, *, least: float = 0.85, ratio: float = 0.8, near: float = 0.6, k: int = 5) -> DataFrame:
-    """a, b, score, verdict: pairs by exact shingle Jaccard from `near` on; F04 from `least` on unless identifiers differ.
+def hamming_pairs(hashes: DataFrame, ident: str, value: str, distance: int = 8, bits: int = 63, bands: int = 3) -> DataFrame:
+    """a, b, distance of all pairs within a Hamming distance.
 
-    Pairs come from prefix filtering: shingles are ordered by document frequency, rare first, and a pair of the wanted
-    similarity shares one of the first n - ceil(near n) + 1. Equal sets are one row before that, so copies make no pairs.
+    Of `bands` bands one differs in at most distance // bands bits, so a hash is stored under its bands and looked up under
+    every value that near: few wide bands instead of many narrow ones whose values most rows share. Hashes are computed once.
     """
-    sets = units.select(F.col(ident).alias("id"), F.col(words).alias("w"), T.shingles(F.col(words), k).alias("s")).where(F.size("s") > 0)
-    grams = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    freq = grams.groupBy("g").agg(F.count("*").alias("df"))
-    at = F.row_number().over(Window.partitionBy("id").orderBy("df", "g"))
-    first = grams.join(freq, "g").withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * near - 1e-9) + 1).where("df > 1")
-    pairs = first.alias("x").join(first.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.n", "y.n") >= near * F.greatest("x.n", "y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    left, right = (sets.select(F.col("id").alias(e), F.col("s").alias(f"s{e}"), F.col("w").alias(f"w{e}")) for e in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("score", T.jaccard(F.col("sa"), F.col("sb"))).where(F.col("score") >= near)
-    lengths = F.least(F.size("wa"), F.size("wb")) >= ratio * F.greatest(F.size("wa"), F.size("wb"))
-    ia, ib = F.array_distinct(T.identifiers(F.col("wa"))), F.array_distinct(T.identifiers(F.col("wb")))
-    same_ids = (F.size(F.array_except(ia, ib)) == 0) | (F.size(F.array_except(ib, ia)) == 0)
-    return both.select("a", "b", "score", F.when((F.col("score") >= least) & lengths & same_ids, "F04").otherwise("near miss").alias("verdict"))
-
-
-def hamming_pairs(hashes: DataFrame, ident: str, value: str, distance: int = 8, bits: int = 63, bands: int | None = None) -> DataFrame:
-    """a, b, distance of all pairs within a Hamming distance: one of distance + 1 bands is equal, so none is missed."""
-    bands = bands or distance + 1
-    edges = [round(k * bits / bands) for k in range(bands + 1)]
-    cut = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(value), edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1).alias("v")) for k in range(bands)])
-    keyed = hashes.select(F.col(ident).alias("id"), F.col(value).alias("h"), F.explode(cut).alias("band")).select("id", "h", "band.k", "band.v")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    near = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")))
-    d = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h")))
-    return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), d.alias("distance")).where(F.col("distance") <= distance).distinct()
+    rows = graph.kept(hashes.select(F.col(ident).alias("id"), F.col(value).cast("long").alias("h")))
+    edges, reach = [round(k * bits / bands) for k in range(bands + 1)], distance // bands
+    band = lambda k: F.shiftrightunsigned(F.col("h"), edges[k]).bitwiseAND((1 << (edges[k + 1] - edges[k])) - 1)
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), band(k).alias("v")) for k in range(bands)])).alias("at")
+    stored = rows.select(F.col("id").alias("b"), F.col("h").alias("hb"), key).select("b", "hb", "at.k", "at.v")
+
+    def near_values(k: int) -> Column:
+        flips = [sum(1 << i for i in c) for n in range(reach + 1) for c in combinations(range(edges[k + 1] - edges[k]), n)]
+        own = band(k)
+        return F.transform(F.lit(flips).cast("array<long>"), lambda m: own.bitwiseXOR(m))
+
+    wanted = [F.struct(F.lit(k).alias("k"), near_values(k).alias("vs")) for k in range(bands)]
+    asked = rows.select(F.col("id").alias("a"), F.col("h").alias("ha"), F.inline(F.array(*wanted))).select("a", "ha", "k", F.explode("vs").alias("v"))
+    d = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
+    near = asked.join(stored, ["k", "v"]).where(F.col("a") < F.col("b")).select("a", "b", d.alias("distance"))
+    return near.where(F.col("distance") <= distance).distinct()
 
 
 def close_in_time(items: DataFrame, ident: str, time: str, group: str, minutes: int) -> DataFrame:

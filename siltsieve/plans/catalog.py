@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltsieve.functions import files as N
 from siltsieve.functions import text as T
-from siltsieve.operators import bins, clusters, graph, matching, rules
+from siltsieve.operators import bins, documents, matching, rules
 from siltsieve.sources import inventory as I
 from siltsieve.streaming import alerts
 
@@ -41,29 +41,41 @@ def docs_same_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.same_key_pairs(units, "id", "key")
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.documents(spark, sf_dir).select("id", T.words(F.col("content")).alias("w")).withColumn("key", T.text_key(F.col("w")))
-    units = docs.where(F.size("w") >= 40).groupBy("key").agg(F.min("id").alias("id"), F.first("w").alias("w"))
-    return matching.edited_versions(units, "id", "w")
-
-
-@query(rf"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), u AS (SELECT min(doc_id) AS id, any_value(w) AS w FROM d WHERE len(w) >= 40 GROUP BY array_to_string(w, ' ')),
-s AS (SELECT id, w, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM u),
+_DOC_PAIRS = rf"""d AS (SELECT doc_id, {_WORDS} AS w, CASE WHEN doc_id % 3 = 0 THEN 'notes-' || source ELSE 'notes' END AS stem FROM documents),
+u AS (SELECT min(d.doc_id) AS id, any_value(w) AS w FROM d JOIN documents t ON t.doc_id = d.doc_id GROUP BY array_to_string(w, ' ') HAVING len(any_value(w)) >= 40),
+s AS (SELECT u.id, u.w, list_distinct(string_split(d.stem, '-')) AS stem, list_distinct(list_transform(range(1, len(u.w) - 3), lambda i: array_to_string(u.w[i:i+4], ' '))) AS s FROM u JOIN d ON d.doc_id = u.id),
 g AS (SELECT id, unnest(s) AS g FROM s), n AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2),
-j AS (SELECT n.a, n.b, c / (len(x.s) + len(y.s) - c) AS score, x.w AS wa, y.w AS wb,
+j AS (SELECT n.a, n.b, c / (len(x.s) + len(y.s) - c) AS score, x.w AS wa, y.w AS wb, x.stem AS sa, y.stem AS sb,
   list_distinct(list_filter(x.w, lambda t: len(regexp_replace(t, '[^0-9]', '', 'g')) >= 4)) AS ia, list_distinct(list_filter(y.w, lambda t: len(regexp_replace(t, '[^0-9]', '', 'g')) >= 4)) AS ib
-  FROM n JOIN s x ON x.id = n.a JOIN s y ON y.id = n.b)
-SELECT a, b, score, CASE WHEN score >= 0.85 AND least(len(wa), len(wb)) >= 0.8 * greatest(len(wa), len(wb)) AND (list_has_all(ib, ia) OR list_has_all(ia, ib)) THEN 'F04' ELSE 'near miss' END AS verdict
-FROM j WHERE score >= 0.6""")
+  FROM n JOIN s x ON x.id = n.a JOIN s y ON y.id = n.b),
+v AS (SELECT a, b, score, CASE WHEN score < 0.85 THEN 'similarity' WHEN least(len(wa), len(wb)) < 0.8 * greatest(len(wa), len(wb)) THEN 'length'
+  WHEN NOT (list_has_all(sb, sa) OR list_has_all(sa, sb)) THEN 'names' WHEN NOT (list_has_all(ib, ia) OR list_has_all(ia, ib)) THEN 'numbers' END AS blocked FROM j WHERE score >= 0.6)"""
+
+
+@query(f"WITH {_DOC_PAIRS} SELECT a, b, score, CASE WHEN blocked IS NULL THEN 'F04' ELSE 'near miss' END AS verdict, blocked FROM v")
 def docs_edited_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir)
+    """Pairs of edited versions and near misses, with what speaks against them."""
+    return documents.versions(documents.units(I.named_documents(spark, sf_dir)))
+
+
+@query(f"""WITH {_DOC_PAIRS}, k AS (SELECT sha256(array_to_string(d.w, ' ')) AS key, min(d.doc_id) AS id, d.w FROM d JOIN documents t ON t.doc_id = d.doc_id WHERE len(d.w) >= 20 GROUP BY t.text, d.w),
+m AS (SELECT key, min(id) AS a FROM k GROUP BY key HAVING count(*) > 1)
+SELECT m.a, k.id AS b, 'F03' AS rule, 1.0::DOUBLE AS score FROM k JOIN m USING (key) WHERE k.id <> m.a UNION ALL SELECT a, b, 'F04', score FROM v WHERE blocked IS NULL""")
+def docs_match_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of distinct contents, each pair by its first rule."""
+    return documents.edges(documents.units(I.named_documents(spark, sf_dir)))
 
 
 @query()
 def docs_version_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete-linkage groups of edited versions (no SQL form)."""
-    edges = graph._cut(_versions(spark, sf_dir).select("a", "b", "score"))
-    return clusters.cluster_components(edges, graph.connected(edges))
+    """Members of all duplicate-document groups with the kept one (complete linkage has no SQL form; a test compares with brute force)."""
+    return documents.scan(I.named_documents(spark, sf_dir))
+
+
+@query()
+def docs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each group, most reclaimable bytes first."""
+    return documents.group_list(docs_version_groups(spark, sf_dir))
 
 
 @query(r"""SELECT doc_id AS id, CASE WHEN length(text) = 0 THEN 1.0 ELSE 1 - length(regexp_replace(text, '[\p{L}\p{N}\s.,;:!?\-–—()/$€£%&@#"'']', '', 'g'))::DOUBLE / length(text) END AS share FROM documents""")
@@ -159,16 +171,20 @@ def retake_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(e, "a").join(s, "b").where("va <= 0.6 * vb").groupBy(F.col("b").alias("id")).agg(F.min_by("a", F.struct("va", "a")).alias("best_id"))
 
 
-_HASH = "h AS (SELECT vec_id AS id, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 2] > list_sort(embedding[2:64])[32] THEN (1::HUGEINT << i)::BIGINT ELSE 0 END))::BIGINT AS h FROM embeddings)"
+_HASH = """v AS (SELECT vec_id AS id, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 2] > list_sort(embedding[2:64])[32] THEN (1::HUGEINT << i)::BIGINT ELSE 0 END))::BIGINT AS h FROM embeddings),
+h AS (SELECT id, h FROM v UNION ALL SELECT id + 1000000, xor(h, (1::BIGINT << (id % 63)::INT) | 17) FROM v WHERE id % 4 = 0)"""
 
 
-@query(f"WITH {_HASH} SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 16")
+@query(f"WITH {_HASH} SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 8")
 def hash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as image hashes: 63 bits, one for each component (but the first) above their median; distance 16, as nothing is nearer here."""
+    """Vectors as image hashes: 63 bits, one for each component (but the first) above their median; every fourth also with up to three bits flipped."""
     v = I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 2, 63).alias("e"))
     v = v.withColumn("m", F.element_at(F.array_sort("e"), 32))
     bits = F.zip_with(F.sequence(F.lit(0), F.lit(62)), "e", lambda i, x: F.when(x > F.col("m"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return matching.hamming_pairs(v.select("id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("h")), "id", "h", 16)
+    v = v.select("id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("h"))
+    flip = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("id") % 63).cast("int")).bitwiseOR(F.lit(17).cast("long"))
+    planted = F.when(F.col("id") % 4 == 0, F.array(F.struct("id", "h"), F.struct((F.col("id") + 1_000_000).alias("id"), F.col("h").bitwiseXOR(flip).alias("h")))).otherwise(F.array(F.struct("id", "h")))
+    return matching.hamming_pairs(v.select(F.inline(planted)), "id", "h", 8)
 
 
 @query("SELECT doc_id, first_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE doc_id <> first_id")

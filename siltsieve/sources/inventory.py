@@ -16,6 +16,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"), F.col("text").alias("content"), F.col("source"))
 
 
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files notes.txt, every third notes-<source>.txt, second-hand in src0 (a download folder), a day newer with each id modulo 100."""
+    d = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("notes-"), "source", F.lit(".txt"))).otherwise("notes.txt")
+    folder = F.when(F.col("source") == "src0", "download").otherwise(F.col("source"))
+    return d.select(F.col("doc_id").alias("id"), name.alias("name"), F.concat(F.lit("/"), folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), F.octet_length("text").cast("long").alias("size_bytes"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + (F.col("doc_id") % 100) * 86_400).alias("modified"), F.col("text").alias("content"))
+
+
 def bin_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders with their customers as bin entries: category is the priority, sizes are cents of the price, a third never expires."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
