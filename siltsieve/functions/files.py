@@ -50,6 +50,7 @@ def in_folder(path: Column, names: list[str]) -> Column:
 
 
 def has_copy_name(name: Column) -> Column:
+    # Fixed value: names of copies.
     return name.rlike(r"(?i)\(\d+\)|\bcopy\b|\bduplicate\b")
 
 
@@ -77,5 +78,9 @@ def storage_level(free: Column, total: Column) -> Column:
     return F.when(valid & (free < F.least(total * 0.05, F.lit(gib))), "critical").when(valid & (free < F.least(total * 0.10, F.lit(5 * gib))), "low").otherwise("ok")
 
 
+def free_gib(free: Column) -> Column:
+    return free / float(1024**3)
+
+
 def used_fraction(free: Column, total: Column) -> Column:
     return F.when(total > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (total - free) / total))).otherwise(0.0)

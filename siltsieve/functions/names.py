@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,44 +93,52 @@ def folders(path: Column) -> Column:
     return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
-_PIECES = ("y", "mo", "d", "h", "mi", "s", "app", "unix")
-
-
-def _piece(p: Pattern, name: Column, piece: str) -> Column:
-    """A named group of the pattern by its place; null where the pattern has none or the group is empty."""
-    at, k = 0, 0
-    while (k := p.pattern.find("(", k)) >= 0:
-        if p.pattern[k - 1] != "\\" and p.pattern[k + 1] != "?" or p.pattern[k : k + 3] == "(?<":
-            at += 1
-            if p.pattern[k:].startswith(f"(?<{piece}>"):
-                return F.nullif(F.regexp_extract(name, f"(?iu)^(?:{p.pattern})$", at), F.lit(""))
-        k += 1
-    return F.lit(None).cast("string")
-
+def _taken(found: dict[str, str | None], own: str) -> str | None:
+    """Local time that a name's pieces say; 12-hour clocks count am and pm, a day or hour too large rolls over."""
+    y, mo, d, h, mi, sec = (int(found.get(k) or 0) for k in ("y", "mo", "d", "h", "mi", "s"))
+    if not found.get("y") or not 1 <= mo <= 12 or y < 1:
+        return None
+    half = re.search(r"(?i)([ap])m(?: \(\d+\))?(?: \d+)?$", own)
+    if half:
+        h = h + 12 if half[1] in "pP" and h < 12 else 0 if half[1] in "aA" and h == 12 else h
+    try:
+        return (dt.datetime(y, mo, 1) + dt.timedelta(days=d - 1, hours=h, minutes=mi, seconds=sec)).isoformat(" ")
+    except OverflowError:
+        return None
+
+
+def _matcher(patterns: tuple[Pattern, ...]):
+    @F.pandas_udf("tool string, source string, app string, local string, unix long")
+    def match(name: pd.Series, path: pd.Series) -> pd.DataFrame:
+        known = [(p, re.compile(p.pattern.replace("(?<", "(?P<"), re.I)) for p in patterns]
+        out = []
+        for own, at in zip(name, path, strict=True):
+            row = (None,) * 5
+            if own is not None:
+                own = own[: own.rfind(".")] if own.rfind(".") > 0 else own
+                nearest = ([""] + re.split(r"[/\\\\]", (at or "").lower())[:-1])[-1]
+                for p, pattern in known:
+                    if (p.in_folder is None or p.in_folder == nearest) and (m := pattern.fullmatch(own)):
+                        found = m.groupdict()
+                        row = (p.tool, p.source, found.get("app"), _taken(found, own), int(found["unix"]) if found.get("unix") else None)
+                        break
+            out.append(row)
+        return pd.DataFrame(out, columns=["tool", "source", "app", "local", "unix"]).astype({"unix": "Int64"})
+
+    return match
+
+
+def match_name(name: Column, path: Column, patterns: tuple[Pattern, ...]) -> Column:
+    """struct(tool, source, app, local, unix) of the first pattern that the name matches, nulls for none.
+
+    An Arrow-batched function: as one SQL expression the patterns and their groups make a plan too large to optimise.
+    """
+    return _matcher(patterns)(name, path)
 
-def match_name(name: Column, path: Column, patterns: tuple[Pattern, ...], zone_seconds: bool = True) -> Column:
-    """struct(tool, source, app, taken) of the first pattern that the name matches, or null; one CASE, evaluated in the JVM.
 
-    12-hour clocks count am and pm; a Unix time is taken as it is. A month beyond 12 gives no time, other overflows roll over.
-    """
-    own, nearest = stem(name), F.element_at(folders(path), -1)
-    out = F.lit(None).cast("struct<tool:string,source:string,app:string,taken:timestamp>")
-    for p in reversed(patterns):
-        n = {k: _piece(p, own, k) for k in _PIECES}
-        half = F.lower(F.regexp_extract(own, r"(?i)([ap])m(?: \(\d+\))?(?: \d+)?$", 1))
-        hour = F.coalesce(n["h"].cast("int"), F.lit(0))
-        hour = F.when((half == "p") & (hour < 12), hour + 12).when((half == "a") & (hour == 12), F.lit(0)).otherwise(hour)
-        month = n["mo"].cast("int")
-        first = F.make_date(n["y"].cast("int"), F.when(month.between(1, 12), month), F.lit(1))
-        seconds = hour * 3600 + F.coalesce(n["mi"].cast("int"), F.lit(0)) * 60 + F.coalesce(n["s"].cast("int"), F.lit(0))
-        taken = F.timestamp_seconds(F.unix_seconds(F.date_add(first, n["d"].cast("int") - 1).cast("timestamp")) + seconds)
-        taken = F.coalesce(F.timestamp_seconds(n["unix"].cast("long")), taken)
-        hit = own.rlike(f"(?iu)^(?:{p.pattern})$")
-        if p.in_folder:
-            hit = hit & F.coalesce(nearest == p.in_folder, F.lit(False))
-        found = F.struct(F.lit(p.tool).alias("tool"), F.lit(p.source).cast("string").alias("source"), n["app"].alias("app"), taken.alias("taken"))
-        out = F.when(hit, found).otherwise(out)
-    return out
+def taken_at(match: Column) -> Column:
+    """The time of a match: a Unix time as it is, else local time in the session's zone."""
+    return F.coalesce(F.timestamp_seconds(match.getField("unix")), F.try_to_timestamp(match.getField("local")))
 
 
 def loose_screenshot(name: Column) -> Column:

@@ -48,14 +48,66 @@ def letter_share(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(1.0)).otherwise(1 - odd / F.length(text))
 
 
-#: The named entities that visible text decodes.
+# The named entities that visible text decodes.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def numeric_entities(text: Column) -> Column:
+    """&#65; and &#x41; as their characters; what names no character stays. Texts are parted at entities, so each is looked at once."""
+    parts = F.split(text, r"(?i)(?=&#)|(?<=&#x?[0-9a-f]{1,7};)")
+
+    def one(p: Column) -> Column:
+        code = F.coalesce(F.nullif(F.regexp_extract(p, r"(?i)^&#x([0-9a-f]{1,6});$", 1), F.lit("")), F.lit(None))
+        value = F.coalesce(F.conv(code, 16, 10).cast("int"), F.nullif(F.regexp_extract(p, r"^&#([0-9]{1,7});$", 1), F.lit("")).cast("int"))
+        good = value.between(1, 0xD7FF) | value.between(0xE000, 0x10FFFF)
+        wide = F.decode(F.unhex(F.lpad(F.hex(value.cast("long")), 8, "0")), "UTF-32")
+        return F.when(good, wide).otherwise(p)
+
+    return F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def fnv32(text: Column) -> Column:
+    """FNV-1a of the UTF-16 code units, 32 bits."""
+    units = F.encode(text, "UTF-16BE")
+    at = lambda i: F.conv(F.hex(F.substring(units, i * 2 - 1, 2)), 16, 10).cast("long")
+    n = (F.octet_length(units) / 2).cast("int")
+    step = lambda h, i: ((h.bitwiseXOR(at(i))) * F.lit(16_777_619).cast("long")).bitwiseAND(0xFFFFFFFF)
+    return F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(2_166_136_261).cast("long"), step)
+
+
+def min_hashes(shingles_: Column, bands: int = 16, rows: int = 4, seed: int = 7) -> Column:
+    """Minimum of (a x + b) mod 2**31 - 1 over hashed shingles (longs) for bands * rows pairs a, b; null for an empty set."""
+    import random
+
+    r, p = random.Random(seed), (1 << 31) - 1
+    pairs = [(r.randrange(1, p), r.randrange(p)) for _ in range(bands * rows)]
+    small = F.transform(shingles_, lambda x: F.pmod(x, F.lit(p)))
+    return F.when(F.size(shingles_) > 0, F.array(*[_least(small, a, b, p) for a, b in pairs]))
+
+
+def _least(small: Column, a: int, b: int, p: int) -> Column:
+    return F.array_min(F.transform(small, lambda x: F.pmod(x * F.lit(a) + F.lit(b), F.lit(p))))
+
+
+def band_keys(signature: Column, bands: int = 16, rows: int = 4) -> Column:
+    """One key for each band: sets that share one are candidates."""
+    return F.array(*[F.xxhash64(F.lit(k), F.slice(signature, k * rows + 1, rows)) for k in range(bands)])
+
+
+def rtf_text(raw: Column) -> Column:
+    """Visible text of RTF: font, style, picture and hidden groups dropped, escapes decoded, control words removed."""
+    out = F.regexp_replace(raw, r"(?s)\{\\(?:fonttbl|colortbl|stylesheet|info|pict|\*)[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", " ")
+    out = F.regexp_replace(F.regexp_replace(out, r"\\(?:par|line|tab|row|cell)\b ?", " "), r"\\u(-?\d+) ?\??", "&#$1;")
+    out = F.regexp_replace(out, r"\\'([0-9a-fA-F]{2})", "&#x$1;")
+    out = numeric_entities(F.regexp_replace(out, r"\\[a-zA-Z]+-?\d* ?|[{}]|\\[^a-zA-Z]", ""))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 def visible_text(markup: Column) -> Column:
     """Text outside scripts, styles, comments and tags, entities decoded, white space collapsed."""
     out = F.regexp_replace(markup, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
+    out = numeric_entities(out)
     for name, char in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(char))
     return F.trim(F.regexp_replace(out, r"[ \t\n\r]+", " "))

@@ -83,7 +83,7 @@ def judge(videos: DataFrame, now: Column, rules: VideoRules = VideoRules(), live
     held back, with the reason in `held`, for the movie half of a Live Photo, videos of active projects and recent ones.
     """
     named = M.match_name(F.col("name"), F.col("path"), M.VIDEOS)
-    v = videos.withColumn("_n", named).withColumn("_r", recorded(F.col("modified"), F.col("created"), F.col("_n.taken"), now))
+    v = videos.withColumn("_n", named).withColumn("_r", recorded(F.col("modified"), F.col("created"), M.taken_at(F.col("_n")), now))
     v = v.withColumns({
         "tool": F.col("_n.tool"), "app": F.col("_n.app"), "source": F.coalesce("_n.source", M.source_from_folders(F.col("path"))), "recorded_at": F.col("_r.at"), "recorded_from": F.col("_r.from"),
         "saving_bytes": oversize(rules, *(F.col(c) for c in ("size_bytes", "width", "height", "fps", "seconds", "codec"))), "_age": F.unix_micros(now) - F.unix_micros("_r.at"),

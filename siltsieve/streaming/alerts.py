@@ -46,7 +46,9 @@ class AlertMachine(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() or ("ok", None)
-        for frame in rows:
+        frames = list(rows)  # a device's readings of one micro-batch, which may come in any order
+        if frames:
+            frame = pd.concat(frames).sort_values("seq")
             out = []
             for level, t in zip(frame.level, frame.t_us, strict=True):
                 action, held = decide(level, int(t), (held[0], held[1]))

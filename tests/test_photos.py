@@ -138,7 +138,7 @@ VIDEO_NAMES = [
 @pytest.mark.parametrize(("rows", "patterns"), [(NAMES, M.SCREENSHOTS), (VIDEO_NAMES, M.VIDEOS)])
 def test_names(spark, rows, patterns):
     df = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(rows)], "k int, name string, path string").repartition(2)
-    got = {r.k: r for r in df.select("k", M.match_name(F.col("name"), F.col("path"), patterns).alias("m")).selectExpr("k", "m.tool", "m.app", "m.source", "date_format(m.taken, 'yyyy-MM-dd HH:mm:ss') taken").collect()}
+    got = {r.k: r for r in df.select("k", M.match_name(F.col("name"), F.col("path"), patterns).alias("m")).select("k", "m.*", F.date_format(M.taken_at(F.col("m")), "yyyy-MM-dd HH:mm:ss").alias("taken")).collect()}
     for k, (name, _, tool, third, taken) in enumerate(rows):
         assert (got[k].tool, got[k].taken) == (tool, taken), name
         assert (got[k].source if patterns is M.VIDEOS else got[k].app) == third
