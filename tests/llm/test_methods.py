@@ -168,9 +168,10 @@ def test_token_count_query(spark):
 
 def test_secret_query_against_brute_force(spark):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{AT}/documents.parquet").collect()}
+    at = "/root/testdata/sf0.01"  # the smaller tables hold no secret
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
     total = Counter()
-    for r in QUERIES["op3_secret_scan"](spark, AT).collect():
+    for r in QUERIES["op3_secret_scan"](spark, at).collect():
         t = texts[r.doc_id]
         base = [(m.start(), "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
         base += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
