@@ -120,6 +120,8 @@ def test_document_scan_against_brute_force(spark):
         w = list(base[k % 6])
         for _ in range(r.choice([0, 0, 1, 2, 3])):
             w[r.randrange(120)] = f"x{r.randrange(900)}y" if r.random() < 0.5 else f"ref{r.randrange(10000, 99999)}"
+        if k % 5 < 2:
+            w[0] = f"ref{10_000 + k}"
         name = r.choice(["report.txt", "report final.txt", "report (1).txt", "invoice.txt"])
         sep = "  " if k % 7 == 0 else " "
         rows.append((k, name, f"/{r.choice(['docs', 'Download'])}/{name}", dt.datetime(2026, 1, 1) + dt.timedelta(days=r.randrange(50)) if k % 9 else None, sep.join(w)))
