@@ -44,6 +44,8 @@ BLOCK = 500
 LARGE = 64
 #: Up to so many identifiers or n-grams are sent to all tasks; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: Tasks whose count tables are added up together.
+FAN = 64
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -93,17 +95,27 @@ def frequency_levels(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
                 v.append((own if dense else own[hit]).astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(at, pa.binary()), pa.array(v, pa.binary())], names=["chunk", "at", "n"])
 
-    def add(batches):
+    def sums(batches, kind) -> dict[int, np.ndarray]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, at, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for k, at, v in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("chunk", "at", "n")), strict=True):
                 own = totals.setdefault(k, np.zeros(width, np.int64))
-                own[np.frombuffer(at, "<u2") if at else slice(None)] += np.frombuffer(v, "<u4")
-        for k, own in totals.items():
+                own[np.frombuffer(at, "<u2") if at else slice(None)] += np.frombuffer(v, kind).astype(np.int64)
+        return totals
+
+    def some(batches):
+        for k, own in sums(batches, "<u4").items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b""], pa.binary()), pa.array([own.astype("<i8").tobytes()], pa.binary())], names=["chunk", "at", "n"])
+
+    def add(batches):
+        for k, own in sums(batches, "<i8").items():
             level = np.minimum(4 * np.log2(np.maximum(own, 1)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "level"])
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "chunk int, at binary, n binary")
+    counts = "chunk int, at binary, n binary"
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, counts)
+    # chunks are few: the tables of each FAN tasks are added up first, so no task reads those of all
+    parts = parts.withColumn("salt", F.expr(f"spark_partition_id() div {FAN}")).repartition("chunk", "salt").select("chunk", "at", "n").mapInArrow(some, counts)
     out = np.zeros(1 << BITS, np.uint8)
     for r in parts.repartition("chunk").mapInArrow(add, "chunk int, level binary").collect():  # 2**BITS bytes in all
         out[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.level, np.uint8)
