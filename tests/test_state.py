@@ -76,6 +76,15 @@ def test_reports(spark, tmp_path):
     assert {tuple(r) for r in reports.matching_groups(group((1, 2, 3), (4, 5)), group((1, 2), (9,))).collect()} == {(0, 0, 2), (1, None, None)}
 
 
+def test_decimal_bytes_round_as_printf(spark):
+    sizes = [0, 999, 1000, 1150, 1250, 1350, 99950, 100500, 101500, 999499, 999500, 2250000, 2750000, 1150000000, 100500000, 999499999999, 2050000000000]
+    got = {r.n: r.x for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", reports.decimal_bytes(F.col("n")).alias("x")).collect()}
+    for n in sizes:
+        u = sum(n >= low for low in (1000, 999500, 999500000, 999500000000))
+        x = n / 1000**u
+        assert got[n] == (f"{x:.0f}" if x >= 100 or not u else f"{x:.1f}".removesuffix(".0")) + " " + ["B", "KB", "MB", "GB", "TB"][u]
+
+
 def test_listings(spark, tmp_path):
     one = listing.memory(spark, {"/a": b"1", "/b": b"22", "/c": b""}, frozenset({"/b"}))
     two = listing.memory(spark, {"/a": b"333"})
