@@ -10,7 +10,7 @@ NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), NOT_A_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), NOT_A_WORD), "")
 
 
 def text_key(words_: Column) -> Column:
@@ -115,7 +115,7 @@ def visible_text(markup: Column) -> Column:
 
 def identifiers(words_: Column) -> Column:
     """Words with four digits and more."""
-    return F.filter(words_, lambda w: F.length(F.regexp_replace(w, r"[^0-9]", "")) >= 4)
+    return F.filter(words_, lambda w: w.rlike(r"(?:[0-9][^0-9]*){4}"))
 
 
 # Words of a name that mark a copy or version.

@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_one_at_a_time = threading.Lock()
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir; where that is unset and all runs on this machine, in a folder of our own."""
+    """df, computed once and kept in spark.checkpoint.dir; where that is unset and all runs on this machine, in a folder of our own.
+
+    Its shuffle files go as soon as it is kept: nothing reads them again.
+    """
+    conf = df.sparkSession.conf
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        at = conf.get("spark.checkpoint.dir", None)
         if not at and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="siltsieve-checkpoint-"))
-    return df.checkpoint()
+    with _one_at_a_time:  # the setting is the session's, and threads may share it
+        before = conf.get(_FREE, None)
+        conf.set(_FREE, "true")
+        try:
+            return df.select("*").checkpoint()  # a plan of its own, made under the setting
+        finally:
+            conf.set(_FREE, before) if before is not None else conf.unset(_FREE)
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -198,6 +198,30 @@ def test_hot_shingles_are_dealt_in_blocks(spark, monkeypatch):
     assert near <= every
 
 
+def test_common_passages_make_no_candidates(spark):
+    r = random.Random(5)
+    common = [r.getrandbits(60) for _ in range(40)]
+    sets = {k: {r.getrandbits(60) for _ in range(60)} | set(common) for k in range(300)}
+    sets |= {1000 + k: set(sorted(sets[k])[:95]) | {r.getrandbits(60)} for k in range(0, 300, 10)}
+    df = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "unit long, s array<long>").repartition(3)
+    pairs = graph.kept(documents.candidates(df))
+    assert pairs.count() < 10_000  # every two of the 300 that share the passage are 44,850
+    want = {(a, b, len(x & y) / len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.6 * len(x | y)}
+    assert len(want) == 30 and {tuple(x) for x in documents.scored(pairs, df).collect()} == want
+
+
+def test_shingles_are_not_dealt_out(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, "a.txt", text if k < 5 else f"{k} " + text, k) for k in range(12)] + [(3, "a.txt", text, 3)]
+    units = documents.units(spark.createDataFrame(rows, "id long, name string, content string, n long"))
+    assert "Exchange hash" not in units._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.unit for r in units.collect()) == [0, *range(5, 12)]
+    want = sorted(map(tuple, documents.versions(units).collect()), key=str)
+    monkeypatch.setattr(documents, "DEALT", 0.01)
+    monkeypatch.setattr(documents, "MOST_BROADCAST", 2)
+    assert len(want) == 28 and sorted(map(tuple, documents.versions(units).collect()), key=str) == want
+
+
 def test_hamming_is_exact(spark):
     r = random.Random(6)
     base = [r.getrandbits(63) for _ in range(40)]
