@@ -263,7 +263,8 @@ def scan(items: DataFrame, more: DataFrame | None = None, disabled: tuple[str, .
     """Members of all groups, as `keepers` gives them."""
     own = units(items)
     found = graph.kept(edges(own, more, disabled))
-    return keepers(items, own, groups(own, found), found)
+    own = graph.kept(own.select("key", "unit", "text_key"))  # shingles are not read again
+    return keepers(items, own, graph.kept(groups(own, found)), found)
 
 
 def group_list(members: DataFrame) -> DataFrame:
