@@ -132,7 +132,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"c{k}" for k in range(len(docs.columns))]
     ident, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     rows = docs.toDF(*names).withColumn("row_hash", F.xxhash64(F.col(ident).cast("long"), F.col(text))).withColumn("turn", turn(ident))
-    out = rows.join(spans, ["row_hash", "turn"]).withColumn("span", F.explode("spans")).drop("spans")
+    # a difference is no join key: the texts stay where their turns were numbered and are not dealt out again by both columns
+    same = (rows["row_hash"] == spans["row_hash"]) & (rows["turn"] - spans["turn"] == 0)
+    out = rows.join(spans, same).select(*names, "bucket", "ord", "size", F.explode("spans").alias("span"))
     out = out.orderBy("span.slot", "bucket", "ord", "span.epoch")
     words = F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.slice(words, (F.col("span.a") + 1).cast("int"), (F.col("span.b") - F.col("span.a")).cast("int")), " ")

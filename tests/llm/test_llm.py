@@ -317,6 +317,15 @@ def test_mixed_rows_in_order_of_slots(spark):
     assert len(got) == len(first) and got == sorted(got)
 
 
+def test_mixed_texts_are_not_dealt_by_turn(spark):
+    every = [(k, f"w{k} x y z", f"s{k % 3}") for k in range(40)] + [(7, "w7 x y z", "s1")] * 3
+    mixed = mixing.mixed_documents(spark.createDataFrame(every, "doc_id long, text string, source string").repartition(3), block=16)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(row_hash" in plan and not re.search(r"hashpartitioning\(row_hash#\w+, turn", plan)
+    taken = mixing.mix(spark.createDataFrame(every, "doc_id long, text string, source string"), block=16).collect()
+    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(r.taken for r in taken)
+
+
 def test_line_stage_keeps_clashing_columns(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     line = "a line of boilerplate that is long enough to count"
