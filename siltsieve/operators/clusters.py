@@ -2,35 +2,49 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Components of more items are left whole, as one cluster: complete linkage is cubic in them.
+from siltsieve.operators import graph
+
+#: Components of more items are left whole by first fit.
 LARGEST = 200
 
 
-def complete_linkage(ids: list, edges: dict[tuple, float], largest: int = LARGEST) -> list[list]:
-    """Merges the best-scored pair of clusters of which all members match, until none is left; larger components stay whole.
+def complete_linkage(ids: list, edges: dict[tuple, float]) -> list[list]:
+    """Merges the best-scored pair of clusters of which all members match, until none is left.
 
     The score of two clusters is that of their worst pair; of equal scores the pair that stands first is merged, and a merged
-    cluster stands last.
+    cluster stands last. A queue holds the pairs of clusters of which all members match: a merge looks at the neighbours of its two
+    only, and leaves fewer pairs than it takes, so time is about that of sorting the edges.
     """
-    if len(ids) > largest:
-        return [sorted(ids)]
-    clusters = [[i] for i in sorted(ids)]
-    score = lambda a, b: min((edges.get((min(x, y), max(x, y)), float("-inf")) for x in a for y in b))
-    while True:
-        best, pick = float("-inf"), None
-        for i in range(len(clusters)):
-            for j in range(i + 1, len(clusters)):
-                if (s := score(clusters[i], clusters[j])) > best:
-                    best, pick = s, (i, j)
-        if pick is None:
-            return clusters
-        i, j = pick
-        merged = clusters[i] + clusters[j]
-        clusters = [c for k, c in enumerate(clusters) if k not in pick] + [merged]
+    clusters = {k: [i] for k, i in enumerate(sorted(ids))}
+    place = {c[0]: k for k, c in clusters.items()}
+    near: dict[int, dict[int, float]] = {k: {} for k in clusters}
+    for (x, y), s in edges.items():
+        if x in place and y in place and x != y:
+            near[place[x]][place[y]] = near[place[y]][place[x]] = s
+    queue = [(-s, i, j) for i, found in near.items() for j, s in found.items() if i < j]
+    heapq.heapify(queue)
+    last = len(clusters)
+    while queue:
+        _, i, j = heapq.heappop(queue)
+        if i not in near or j not in near:
+            continue
+        of_i, of_j = near.pop(i), near.pop(j)
+        near[last] = merged = {}
+        for k in (of_i.keys() | of_j.keys()) - {i, j}:
+            near[k].pop(i, None)
+            near[k].pop(j, None)
+            if k in of_i and k in of_j:
+                merged[k] = near[k][last] = s = min(of_i[k], of_j[k])
+                heapq.heappush(queue, (-s, k, last))
+        clusters[last] = clusters.pop(i) + clusters.pop(j)
+        last += 1
+    return list(clusters.values())
 
 
 def first_fit(ids: list, edges: set[tuple]) -> list[list]:
@@ -46,21 +60,24 @@ def first_fit(ids: list, edges: set[tuple]) -> list[list]:
     return clusters
 
 
-def cluster_components(edges: DataFrame, roots: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """edges: a, b, score; roots: node, root -> root, cluster, id. Components above `largest` are not sent to one task: they stay whole."""
-    sizes = roots.groupBy("root").count()
-    named = roots.join(sizes, "root")
-    whole = named.where(f"count > {largest}").selectExpr("root", "cast(0 as int) cluster", "node as id")
-    small = named.where(f"count <= {largest}").select("root", "node")
-    inside = edges.join(small.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "score")
+def cluster_components(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges: a, b, score, each pair once; roots: node, root -> root, cluster (its smallest id), id.
+
+    A component of which every two match is one cluster, whatever the scores; others are linked in a task each, of any size.
+    """
+    inside = edges.join(roots.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "score")
+    pairs = inside.groupBy("root").agg(F.count("*").alias("pairs"))
+    open_ = graph.kept(roots.groupBy("root").agg(F.count("*").alias("n")).join(pairs, "root").where("2 * pairs < n * (n - 1)").select("root", "pairs"))
+    whole = roots.join(open_, "root", "left_anti").selectExpr("root", "root as cluster", "node as id")
     kind = dict(edges.dtypes)["a"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         known = {(min(a, b), max(a, b)): s for a, b, s in zip(rows.a, rows.b, rows.score, strict=True)}
-        found = complete_linkage(list({*rows.a, *rows.b}), known, largest)
-        return pd.DataFrame([(key[0], k, i) for k, c in enumerate(found) for i in c], columns=["root", "cluster", "id"])
+        found = complete_linkage(list({*rows.a, *rows.b}), known)
+        return pd.DataFrame([(key[0], min(c), i) for c in found for i in c], columns=["root", "cluster", "id"])
 
-    return inside.groupBy("root").applyInPandas(run, f"root {kind}, cluster int, id {kind}").unionByName(whole)
+    linked = inside.join(open_, "root").select("root", "a", "b", "score").groupBy("root").applyInPandas(run, f"root {kind}, cluster {kind}, id {kind}")
+    return linked.unionByName(whole)
 
 
 def first_fit_components(members: DataFrame, edges: DataFrame, largest: int = LARGEST) -> DataFrame:

@@ -227,9 +227,7 @@ def groups(units_: DataFrame, edges_: DataFrame) -> DataFrame:
     ends = edges_.where("rule in ('F04', 'F05')").withColumn("strength", strength(F.col("rule"), F.col("score")))
     ends = ends.join(cls.select(F.col("unit").alias("a"), F.col("class").alias("ca")), "a").join(cls.select(F.col("unit").alias("b"), F.col("class").alias("cb")), "b").where("ca <> cb")
     linked = graph.kept(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.max("strength").alias("score")))
-    found = clusters.cluster_components(linked, graph.connected(linked.select("a", "b")))
-    least = found.groupBy("root", "cluster").agg(F.min("id").alias("first"))
-    found = found.join(least, ["root", "cluster"]).select(F.col("id").alias("class"), "first")
+    found = clusters.cluster_components(linked, graph.connected(linked.select("a", "b"))).select(F.col("id").alias("class"), F.col("cluster").alias("first"))
     return cls.join(found, "class", "left").select("unit", F.coalesce("first", "class").alias("cluster"))
 
 

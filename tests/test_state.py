@@ -187,6 +187,43 @@ def test_document_scan_against_brute_force(spark):
     assert documents.singles(df, documents.scan(df)).count() == len(rows) - len(members)
 
 
+def linkage_by_definition(ids, edges):
+    clusters = [[i] for i in sorted(ids)]
+    while True:
+        pairs = []
+        for i, a in enumerate(clusters):
+            for j in range(i + 1, len(clusters)):
+                found = [edges.get((min(x, y), max(x, y))) for x in a for y in clusters[j]]
+                if None not in found:
+                    pairs.append((-min(found), i, j))
+        if not pairs:
+            return clusters
+        _, i, j = min(pairs)
+        clusters = [c for k, c in enumerate(clusters) if k not in (i, j)] + [clusters[i] + clusters[j]]
+
+
+def test_linkage_is_by_definition():
+    r = random.Random(7)
+    for n, share in [(2, 1.0), (12, 0.5), (25, 0.8), (25, 0.95), (40, 0.3)]:
+        edges = {(a, b): r.choice([0.85, 0.9, 0.95]) for b in range(n) for a in range(b) if r.random() < share}
+        assert clusters.complete_linkage(list(range(n)), edges) == linkage_by_definition(range(n), edges)
+
+
+def test_large_components_are_linked(spark):
+    r = random.Random(8)
+    chain = {(k, k + d): r.choice([0.86, 0.9, 0.95]) for k in range(230) for d in (1, 2) if k + d < 230}
+    copies = {(1000 + a, 1000 + b): r.random() * 0.1 + 0.9 for b in range(210) for a in range(b)}
+    found = {p: s for part in (chain, copies) for p, s in part.items()}
+    units = spark.createDataFrame([(k,) for k in [*range(231), *range(1000, 1210)]], "unit long")
+    df = spark.createDataFrame([(a, b, "F04", s) for (a, b), s in found.items()], "a long, b long, rule string, score double")
+    got = {}
+    for x in documents.groups(units, df).collect():
+        got.setdefault(x.cluster, set()).add(x.unit)
+    want = [set(c) for c in linkage_by_definition(range(230), chain)]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, [*want, {230}, set(range(1000, 1210))]))
+    assert all(min(c) == k for k, c in got.items()) and len(want) > 1
+
+
 def test_hot_shingles_are_dealt_in_blocks(spark, monkeypatch):
     r = random.Random(2)
     sets = [(k, sorted({1, 2, 3} | {r.randrange(40) for _ in range(6)})) for k in range(60)]
