@@ -209,6 +209,28 @@ def test_linkage_is_by_definition():
         assert clusters.complete_linkage(list(range(n)), edges) == linkage_by_definition(range(n), edges)
 
 
+def test_linkage_goes_on_from_merged_clusters():
+    for seed in range(60):
+        r, n = random.Random(seed), 24
+        edges = {(a, b): r.choice([0.85, 0.86, 0.9, 0.92, 0.95]) for b in range(n) for a in range(b) if r.random() < 0.85}
+        parts, live = {((), k): [k] for k in range(n)}, {(((), a), ((), b)): s for (a, b), s in edges.items()}
+        for _ in range(3):
+            best = {}
+            for (x, y), s in live.items():
+                for e in (x, y):
+                    best[e] = min(best.get(e, (9,)), (-s, min(x, y), max(x, y)))
+            new, found = {}, {}
+            for s, lo, hi in {k for k in best.values() if best[k[1]] == best[k[2]]}:
+                new[lo] = new[hi] = ((s, *lo[0]), lo[1])
+                parts[new[lo]] = parts.pop(lo) + parts.pop(hi)
+            for (x, y), s in live.items():
+                found.setdefault(tuple(sorted((new.get(x, x), new.get(y, y)))), []).append(s)
+            two = set(new.values())
+            live = {p: min(v) for p, v in found.items() if p[0] != p[1] and len(v) == (1 + (p[0] in two)) * (1 + (p[1] in two))}
+        got = [sorted(i for k in c for i in parts[k]) for c in clusters._link(list(parts), live)]
+        assert sorted(got) == sorted(map(sorted, linkage_by_definition(range(n), edges)))
+
+
 def test_large_components_are_linked(spark):
     r = random.Random(8)
     chain = {(k, k + d): r.choice([0.86, 0.9, 0.95]) for k in range(230) for d in (1, 2) if k + d < 230}
@@ -224,6 +246,23 @@ def test_large_components_are_linked(spark):
     assert all(min(c) == k for k, c in got.items()) and len(want) > 1
 
 
+def test_components_are_linked_in_rounds(spark, monkeypatch):
+    r = random.Random(9)
+    parts = [[(at + a, at + b) for b in range(30) for a in range(b) if r.random() < 0.85] for at in range(0, 480, 40)]
+    parts += [[(k, k + d) for k in range(500, 550) for d in (1, 2, 3)], [(a, b) for b in range(600, 612) for a in range(600, b) if a != 605]]
+    edges = {p: r.choice([0.85, 0.875, 0.9, 0.95]) for part in parts for p in part}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a long, b long, score double")
+    want = sorted(sorted(c) for part in parts for c in linkage_by_definition({x for p in part for x in p}, edges))
+    roots = graph.kept(graph.connected(df.select("a", "b")))
+    for pairs, rounds in ((150, 60), (0, 3)):
+        monkeypatch.setattr(clusters, "PAIRS", pairs)
+        monkeypatch.setattr(clusters, "ROUNDS", rounds)
+        got = {}
+        for x in clusters.cluster_components(df, roots).collect():
+            got.setdefault((x.root, x.cluster), []).append(x.id)
+        assert sorted(map(sorted, got.values())) == want and all(min(c) == k[1] for k, c in got.items())
+
+
 def test_hot_shingles_are_dealt_in_blocks(spark, monkeypatch):
     r = random.Random(2)
     sets = [(k, sorted({1, 2, 3} | {r.randrange(40) for _ in range(6)})) for k in range(60)]
